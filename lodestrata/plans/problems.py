@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.ids import clean_id, micros
-from lodestrata.operators import drift, hierarchy, references, snapshots
+from lodestrata.operators import drift, hierarchy, loglines, references, snapshots
 from lodestrata.operators.skew import hot_keys
 from lodestrata.runtime import materialize
 from lodestrata.sources.tables import table
@@ -269,11 +269,35 @@ p4 AS (
   SELECT o.g, o.nv, o.k, 'deleted' FROM snap o LEFT JOIN snap n ON n.g = o.g AND n.v = o.nv AND n.k = o.k WHERE o.nv IS NOT NULL AND n.k IS NULL)
 """
 
+# ---------------------------------------------------------------- 5: log lines
+
+
+def log_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the log files and of the root causes: source, line_no, text, not_after."""
+    files = table(spark, d, "log_lines").select(F.col("raw_log_path").alias("source"), "line_no", F.col("line_text").alias("text"), F.col("collected_at").alias("not_after"))
+    causes = table(spark, d, "ci_failures").select(F.concat(F.lit("root_cause:"), F.col("failure_id").cast("string")).alias("source"), "root_cause", "recorded_at")
+    return files.unionByName(loglines.split_lines(causes, "source", "root_cause", "recorded_at"))
+
+
+def p5_entries(spark: SparkSession, d: str) -> DataFrame:
+    return loglines.entries(log_sources(spark, d)).withColumnRenamed("source", "entry_source")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_entries(spark, d).drop("message")
+
+
+def p5_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Entries per component and level, with the lines they hold."""
+    return p5_entries(spark, d).groupBy("component", "entry_level").agg(F.count(F.lit(1)).alias("entries"), F.sum(F.col("last_line") - F.col("first_line") + 1).alias("lines"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_by_table_and_period": p1_by_table_and_period,
     "p2_found": p2_found, "p2_table": p2_table, "p2_promoted": p2_promoted,
     "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_descendant_counts": p3_descendant_counts,
     "p4_found": p4_found, "p4_against_plans": p4_against_plans,
+    "p5_found": p5_found, "p5_entries": p5_entries, "p5_levels": p5_levels,
 }
 
 SQL = {
