@@ -35,7 +35,8 @@ def resolve(nodes: DataFrame, with_path: bool = False, label: str | None = None)
     base = materialize(
         nodes.where("id IS NOT NULL").select("id", id16(F.col("id")).alias("n"), id16(F.col("parent")).alias("p"), *([F.coalesce(seg, F.col("id")).alias("seg")] if with_path else [])), "forest"
     )
-    hot = hot_keys(base, F.col("p"))
+    size = base.count()
+    hot = hot_keys(base, F.col("p"), size)
     known = base.select(F.col("n").alias("p"), F.lit(True).alias("known"))
     start = skew_join(base.drop("id"), known, "p", "left", hot, F.col("n"))
     has = F.col("known").isNotNull()
@@ -51,7 +52,7 @@ def resolve(nodes: DataFrame, with_path: bool = False, label: str | None = None)
     for _ in range(MAX_ROUNDS):
         if not open_rows:
             break
-        hot = hot_keys(active, F.col("a"))
+        hot = hot_keys(active, F.col("a"), open_rows)
         up = every.select(F.col("n").alias("a"), F.col("a").alias("a2"), F.col("d").alias("d2"), F.col("done").alias("done2"), *([F.col("segs").alias("segs2")] if with_path else []))
         step = skew_join(active.drop("done"), up, "a", "inner", hot, F.col("n")).select(
             "n", F.col("a2").alias("a"), (F.col("d") + F.col("d2")).alias("d"), F.col("done2").alias("done"), *([F.concat("segs2", "segs").alias("segs")] if with_path else [])
@@ -76,7 +77,7 @@ def resolve(nodes: DataFrame, with_path: bool = False, label: str | None = None)
             if now == image:
                 break
             image = now
-            hot = hot_keys(ptr, F.col("a"))
+            hot = hot_keys(ptr, F.col("a"), open_rows)
             up = ptr.select(F.col("n").alias("a"), F.col("a").alias("a2"))
             ptr = materialize(skew_join(ptr, up, "a", "inner", hot, F.col("n")).select("n", F.col("a2").alias("a")), "cyc")
             written.append(ptr)
@@ -91,7 +92,7 @@ def resolve(nodes: DataFrame, with_path: bool = False, label: str | None = None)
     names = base.select("n", "id")
     roots = resolved[0].select("n").join(names, "n").select(F.col("n").alias("a"), F.col("id").alias("root"))
     named = done.join(names, "n")
-    out = skew_join(named, roots, "a", "left", hot_keys(done, F.col("a")), F.col("n"))
+    out = skew_join(named, roots, "a", "left", hot_keys(done, F.col("a"), size), F.col("n"))
     return out.select("id", "root", F.col("d").alias("depth"), *([F.col("segs").alias("path")] if with_path else []))
 
 

@@ -18,11 +18,14 @@ SHARE = 64
 SMALL_ROWS = 200_000
 
 
-def hot_keys(df: DataFrame, key: Column, share: int = SHARE, small_rows: int = SMALL_ROWS) -> list[int]:
+def hot_keys(df: DataFrame, key: Column, rows: int | None = None, share: int = SHARE, small_rows: int = SMALL_ROWS) -> list[int]:
     """``xxhash64`` values of the keys that may hold over ``1/share`` of the non-null keys of ``df``.
 
-    An empty table, or one of at most ``small_rows`` rows, has none.
+    An empty table, or one of at most ``small_rows`` rows, has none; where the caller knows ``rows``, no job
+    is run for such a one.
     """
+    if rows is not None and rows <= small_rows:
+        return []
     h = F.xxhash64(key).alias("h")
     top = df.where(key.isNotNull()).select(h).agg(
         F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {share}, {share * 64})").alias("top")
