@@ -612,7 +612,7 @@ def reaching_definitions(spark, d):
     at = F.unix_micros(F.col("ordinal.ts").cast("timestamp"))
     ops = t.crossJoin(F.broadcast(bounds)).withColumn("block", ((at > q[0]).cast("int") + (at > q[1]).cast("int") + (at > q[2]).cast("int")).cast("long")).drop("q")
     users = ops.select("callable").distinct()
-    flow = users.select("callable", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).cast("long").alias("source")).withColumn("target", F.col("source") + 1)
+    flow = users.select("callable", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("source")).withColumn("target", F.col("source") + 1)
     return graph.reaching_definitions(ops, flow)
 
 
