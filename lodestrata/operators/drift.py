@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.runtime import materialize
+
 #: JSON type of a field -> Spark type of its column. An array stays JSON text: it is one value.
 SPARK_TYPES = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean", "array": "string"}
 
@@ -170,16 +172,18 @@ def field_changes(values: DataFrame, files: DataFrame) -> DataFrame:
     order and are left out; a null subject_key is no subject.
     """
     w = Window.partitionBy("stream").orderBy("file_no")
-    order = (
+    order = materialize(
         files.select("stream", "file_no").where("stream IS NOT NULL AND file_no IS NOT NULL").distinct()
-        .select("stream", "file_no", F.lag("file_no").over(w).alias("prev"), F.lead("file_no").over(w).alias("next"))
+        .select("stream", "file_no", F.lag("file_no").over(w).alias("prev"), F.lead("file_no").over(w).alias("next")), "order"
     )
     profile = values.groupBy("stream", "file_no", "field_path").agg(F.array_sort(F.collect_set("kind")).alias("kinds")).join(order, ["stream", "file_no"])
     now = profile.where("prev IS NOT NULL").select("stream", "file_no", "field_path", F.col("kinds").alias("new"), F.lit(None).cast("array<string>").alias("old"))
     then = profile.where("next IS NOT NULL").select("stream", F.col("next").alias("file_no"), "field_path", F.lit(None).cast("array<string>").alias("new"), F.col("kinds").alias("old"))
     both = now.unionByName(then).groupBy("stream", "file_no", "field_path").agg(F.max("new").alias("new"), F.max("old").alias("old"))
     kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "type_changed")
+    # the changes are read four times below; they are few, so they are written once
     changes = both.select("stream", "file_no", "field_path", kind.alias("change_kind"), F.when(kind == "type_changed", F.concat(F.concat_ws("|", "old"), F.lit("->"), F.concat_ws("|", "new"))).otherwise("").alias("detail")).where("change_kind IS NOT NULL")
+    changes = materialize(changes, "changes")
 
     # a subject's value of a field that went or came: its least and greatest digest, equal when it has one value
     moved = changes.where("change_kind IN ('added', 'removed')").select("stream", "file_no", "field_path", "change_kind")
@@ -195,12 +199,13 @@ def field_changes(values: DataFrame, files: DataFrame) -> DataFrame:
     )
     old = per_subject.where("change_kind = 'removed'").select("stream", "later", "subject_key", F.col("field_path").alias("old_path"), F.col("lo").alias("old_lo"), F.col("hi").alias("old_hi"))
     new = per_subject.where("change_kind = 'added'").select("stream", "later", "subject_key", F.col("field_path").alias("new_path"), "lo", "hi")
-    renames = (
+    renames = materialize(
         old.join(new, ["stream", "later", "subject_key"])
         .groupBy("stream", "later", "old_path", "new_path")
         .agg(F.bool_and((F.col("lo") == F.col("hi")) & (F.col("old_lo") == F.col("old_hi")) & (F.col("lo") == F.col("old_lo"))).alias("same"))
         .where("same")
-        .select("stream", F.col("later").alias("file_no"), "old_path", "new_path")
+        .select("stream", F.col("later").alias("file_no"), "old_path", "new_path"),
+        "renames",
     )
     gone = renames.select("stream", "file_no", F.col("old_path").alias("field_path"), F.lit("removed").alias("change_kind")).unionByName(
         renames.select("stream", "file_no", F.col("new_path").alias("field_path"), F.lit("added").alias("change_kind"))
