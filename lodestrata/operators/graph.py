@@ -67,14 +67,15 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
     ends are no edges; repeated edges count once.
     """
     found = materialize(edges.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct(), "edges")
-    delta = found
+    delta, new = found, found.count()
     for _ in range(MAX_ROUNDS):
+        if not new:
+            break
         step = found.select(F.col("source").alias("mid"), F.col("target").alias("next"))
-        hot = hot_keys(delta, F.col("target"), delta.count())
+        hot = hot_keys(delta, F.col("target"), new)
         longer = skew_join(delta.withColumnRenamed("target", "mid"), step, "mid", "inner", hot, F.col("source")).select("source", F.col("next").alias("target")).distinct()
         delta = materialize(longer.join(found, ["source", "target"], "left_anti"), "delta")
-        if not delta.head(1):
-            break
+        new = delta.count()
         found = found.unionByName(delta)
     return found
 

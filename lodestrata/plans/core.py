@@ -10,6 +10,7 @@ from lodestrata.operators import answers, federation, graph, integrity, inventor
 from lodestrata.operators.snapshots import plain_path
 from lodestrata.plans import views as V
 from lodestrata.plans.problems import _SQL_PATH
+from lodestrata.runtime import materialize
 from lodestrata.sources.tables import table
 
 QUERIES: dict = {}
@@ -172,8 +173,10 @@ def statement_reverse_lookup(spark, d):
 
 @query(f"WITH {V.CODE} SELECT id, kind, source, target FROM rawe WHERE source NOT IN (SELECT id FROM ent) OR target NOT IN (SELECT id FROM ent)")
 def dangling_edges(spark, d):
-    r = V.raw_edges(spark, d)
-    return r.join(V.edges(spark, d).select("id"), "id", "left_anti")
+    known = materialize(V.entities(spark, d).select("id", "owner_id"), "entities")
+    ids = known.select("id", F.lit(True).alias("there"))
+    ends = V.raw_edges(spark, d, known).join(ids.select(F.col("id").alias("source"), F.col("there").alias("s")), "source", "left").join(ids.select(F.col("id").alias("target"), F.col("there").alias("t")), "target", "left")
+    return ends.where("s IS NULL OR t IS NULL").select("id", "kind", "source", "target")
 
 
 @query(f"WITH {V.CODE} SELECT id, subject_id, 'diagnostic' AS family FROM diag WHERE subject_id IS NOT NULL AND subject_id NOT IN (SELECT id FROM decl) UNION ALL SELECT id, subject_id, 'coverage_gap' FROM gap WHERE subject_id IS NOT NULL AND subject_id NOT IN (SELECT id FROM decl)")
@@ -671,7 +674,9 @@ def sweep_unreferenced(spark, d):
 UNION ALL SELECT 'claim.subject_missing', id FROM claim WHERE subject_id NOT IN (SELECT id FROM ent) AND subject_id NOT IN (SELECT id FROM rawe) UNION ALL SELECT 'evidence.bad_span', id FROM evid WHERE start_byte < 0 OR end_byte < start_byte OR start_byte IS NULL OR end_byte IS NULL UNION ALL SELECT 'evidence.no_path', id FROM evid WHERE path IS NULL OR path = ''
 UNION ALL SELECT 'relationship.duplicate_id', id FROM rawe GROUP BY id HAVING count(*) > 1""")
 def violations(spark, d):
-    return integrity.violations(V.entities(spark, d), V.raw_edges(spark, d), V.claims(spark, d), V.evidence(spark, d))
+    ent = materialize(V.entities(spark, d).select("id", "owner_id"), "entities")
+    rel = materialize(V.raw_edges(spark, d, ent), "edges")
+    return integrity.violations(ent, rel, V.claims(spark, d), materialize(V.evidence(spark, d), "evidence"))
 
 
 @query(None)

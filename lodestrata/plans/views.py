@@ -10,6 +10,7 @@ from lodestrata.functions.scalars import stable_id
 from lodestrata.operators.references import counting_rows
 from lodestrata.operators.snapshots import plain_path
 from lodestrata.plans.problems import _SQL_PATH, _sql_clean
+from lodestrata.runtime import materialize
 from lodestrata.sources.tables import table
 
 # ---------------------------------------------------------------- the code graph
@@ -33,17 +34,17 @@ def declarations(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("evidence_ids", wanted)
 
 
-def raw_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges as the records name them, dangling or not: id, kind, source, target."""
-    own = entities(spark, d).where("owner_id IS NOT NULL").select(F.lit("CONTAINS").alias("kind"), F.col("owner_id").alias("source"), F.col("id").alias("target"))
+def raw_edges(spark: SparkSession, d: str, known: DataFrame | None = None) -> DataFrame:
+    """Edges as the records name them, dangling or not: id, kind, source, target. ``known``: the entities, if at hand."""
+    own = (known if known is not None else entities(spark, d)).where("owner_id IS NOT NULL").select(F.lit("CONTAINS").alias("kind"), F.col("owner_id").alias("source"), F.col("id").alias("target"))
     to = declarations(spark, d).where("local_target_id IS NOT NULL").select(F.lit("RESOLVES_TO").alias("kind"), F.col("id").alias("source"), F.col("local_target_id").alias("target"))
     return own.unionByName(to).select(stable_id("relationship", "kind", "source", "target").alias("id"), "kind", "source", "target")
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """The edges whose ends both exist."""
-    known = entities(spark, d).select("id")
-    return raw_edges(spark, d).join(known.select(F.col("id").alias("source")), "source", "left_semi").join(known.select(F.col("id").alias("target")), "target", "left_semi")
+    known = materialize(entities(spark, d).select("id", "owner_id"), "entities")
+    return raw_edges(spark, d, known).join(known.select(F.col("id").alias("source")), "source", "left_semi").join(known.select(F.col("id").alias("target")), "target", "left_semi")
 
 
 def claims(spark: SparkSession, d: str) -> DataFrame:
