@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.runtime import materialize
+from lodestrata.functions.ids import id16
+from lodestrata.operators.skew import hot_keys, skew_join
+from lodestrata.runtime import BROADCAST_LIMIT_BYTES, materialize, stored_bytes
 
 #: JSON type of a field -> Spark type of its column. An array stays JSON text: it is one value.
 SPARK_TYPES = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean", "array": "string"}
@@ -69,13 +71,14 @@ def ingest(records: DataFrame, target: dict[str, str], body: str = "body") -> Da
 
     ``target``: dotted path -> JSON type (a key of SPARK_TYPES). A body that is null or no JSON object is
     ``broken``: all typed columns null, its text kept in ``broken_body``. Explicit nulls are no values. Of a
-    member written twice the last counts. Typed columns are named by their path with ``__`` for the dot and
-    must not clash with the columns of ``records``.
+    member written twice the last counts. Typed columns are named by their path with ``__`` for the dot; a column
+    of ``records`` that has the name of an output column comes out as ``record_`` and its name.
     """
+    taken = {column_name(p) for p in target} | {"rescued", "body_state", "broken_body"}
+    for c in records.columns:
+        if c in taken and c != body:
+            records = records.withColumnRenamed(c, f"record_{c}")
     keep = [f for f in records.schema.fields if f.name != body]
-    clash = {column_name(p) for p in target} & {f.name for f in keep}
-    if clash:
-        raise ValueError(f"typed columns clash with {sorted(clash)}; rename the record's columns first")
     arrow = {"string": pa.string(), "integer": pa.int64(), "number": pa.float64(), "boolean": pa.bool_(), "array": pa.string()}
     kept = [f.name for f in keep]
 
@@ -191,10 +194,17 @@ def field_changes(values: DataFrame, files: DataFrame) -> DataFrame:
         "stream", F.when(F.col("change_kind") == "added", F.col("file_no")).otherwise(F.col("prev")).alias("at"), "field_path", "change_kind", F.col("file_no").alias("later")
     )
     digest = F.md5(F.concat(F.col("kind"), F.lit(":"), F.col("value")))
+    # a file may hold a third of all records: its few changes go to its values, or hot files are salted
+    given = values.where("subject_key IS NOT NULL")
+    spots = spots.withColumnRenamed("at", "file_no")
+    if stored_bytes(changes) * 4 <= BROADCAST_LIMIT_BYTES:
+        at_spots = given.join(F.broadcast(spots), ["stream", "file_no", "field_path"])
+    else:
+        key = id16(F.concat_ws("\x1f", "stream", F.col("file_no").cast("string"), "field_path"))
+        keyed = given.withColumn("__k", key)
+        at_spots = skew_join(keyed, spots.select(key.alias("__k"), "change_kind", "later"), "__k", "inner", hot_keys(keyed, F.col("__k")), F.col("subject_key"))
     per_subject = (
-        values.where("subject_key IS NOT NULL")
-        .join(spots.withColumnRenamed("at", "file_no"), ["stream", "file_no", "field_path"])
-        .groupBy("stream", "later", "change_kind", "field_path", "subject_key")
+        at_spots.groupBy("stream", "later", "change_kind", "field_path", "subject_key")
         .agg(F.min(digest).alias("lo"), F.max(digest).alias("hi"))
     )
     old = per_subject.where("change_kind = 'removed'").select("stream", "later", "subject_key", F.col("field_path").alias("old_path"), F.col("lo").alias("old_lo"), F.col("hi").alias("old_hi"))

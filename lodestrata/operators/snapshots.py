@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.ids import id16
+from lodestrata.operators.skew import hot_keys, skew_join
 from lodestrata.runtime import BROADCAST_LIMIT_BYTES, broadcast_if_small, materialize, partitions_for, stored_bytes
 
 #: Compact rows of one task: 40 bytes each, a few times that while sorting.
@@ -108,18 +110,25 @@ def snapshot_changes(rows: DataFrame, group: str, version: str, delivered: str,
         latest.select("g", "v", "at", place.cast("long").alias("rank"), F.lead("v").over(w).isNull().alias("last"), (place == 1).alias("first")), "snapshots"
     )
     key_hash = [F.xxhash64("g", "k").alias("k1"), F.xxhash64(F.lit("second"), "k", "g").alias("k2")]
+    one = id16(F.concat_ws("\x1f", "g", F.col("v").cast("string"), F.col("at").cast("string")))
+    if stored_bytes(snapshots) * 4 <= BROADCAST_LIMIT_BYTES:
+        ranked = base.join(F.broadcast(snapshots), ["g", "v", "at"])
+    else:  # a snapshot may hold a third of all rows
+        keyed = base.withColumn("__s", one)
+        ranked = skew_join(keyed, snapshots.select(one.alias("__s"), "rank", "first", "last"), "__s", "inner", hot_keys(keyed, F.col("__s")), F.col("k"))
     compact = (
-        base.join(broadcast_if_small(snapshots), ["g", "v", "at"])
-        .select(*key_hash, "rank", "first", "last", F.when(F.col("val").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("val")).alias("h"))
+        ranked.select(*key_hash, "rank", "first", "last", F.when(F.col("val").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("val")).alias("h"))
         .distinct()
     )
     n = partitions_for(rows.count(), ROWS_PER_TASK, spark)
     found = materialize(compact.repartition(n, "k1").mapInArrow(_diff_partition, "k1 long, k2 long, rank long, kind int"), "diffs")
     # full values only for the keys that differ
     wanted = found.select("k1", "k2").distinct()
+    keys = base.select(*key_hash, "g", "k")
     if stored_bytes(found) * 4 <= BROADCAST_LIMIT_BYTES:
-        wanted = F.broadcast(wanted)
-    names = base.select(*key_hash, "g", "k").join(wanted, ["k1", "k2"], "left_semi").distinct()
+        names = keys.join(F.broadcast(wanted), ["k1", "k2"], "left_semi").distinct()
+    else:  # each key once before the shuffle, however often it is repeated
+        names = keys.distinct().join(wanted, ["k1", "k2"], "left_semi")
     kinds = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     at = broadcast_if_small(snapshots.select("g", "rank", "v"), of=snapshots)
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,6 +14,17 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 
 _local_dirs: dict[str, str] = {}
+_written: list[str] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """Remove what this driver wrote to a folder of files; on other file systems the folder's own rules do."""
+    for path in _written:
+        if path.startswith(("file:", "/")):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+    for path in _local_dirs.values():
+        shutil.rmtree(path, ignore_errors=True)
 
 
 def session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -52,6 +65,7 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     (``checkpoint()`` would compute it twice).
     """
     path = f"{shared_dir(df.sparkSession)}/lodestrata/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lodestrata_path = path

@@ -97,10 +97,14 @@ def test_rescue_and_replay(spark):
     assert p["j"]["a"] == 3 and json.loads(p["j"]["json"]) == {"a2": "7"}
 
 
-def test_clashing_column_is_refused(spark):
-    raw = spark.createDataFrame([("s", 1, "k", "{}")], RAW).withColumn("a", F.lit(1))
-    try:
-        D.ingest(raw, TARGET)
-    except ValueError:
-        return
-    raise AssertionError("clash not seen")
+def test_clashing_columns_are_renamed(spark):
+    raw = spark.createDataFrame([("s", 1, "k", '{"a": 5}')], RAW).withColumn("a", F.lit("mine")).withColumn("rescued", F.lit(1))
+    r = D.ingest(raw, TARGET).first()
+    assert (r["a"], r["record_a"], r["record_rescued"], r["rescued"]) == (5, "mine", 1, {})
+
+
+def test_many_changes_take_the_salted_join(spark, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_LIMIT_BYTES", 0)
+    monkeypatch.setattr(D, "hot_keys", lambda df, key: [r["h"] for r in df.select(F.xxhash64(key).alias("h")).distinct().collect()])
+    rows = [("s", n, f"k{i}", json.dumps({"old" if n == 1 else "new": i, "a": n})) for n in (1, 2) for i in range(20)]
+    assert changes(spark, rows) == brute(rows) == {("s", 2, "renamed", "old", "new")}

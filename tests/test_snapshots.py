@@ -41,6 +41,14 @@ def test_deliveries_gaps_and_nulls(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_beyond_the_broadcast_limit(spark, monkeypatch):
+    monkeypatch.setattr(S, "BROADCAST_LIMIT_BYTES", 0)
+    monkeypatch.setattr(S, "hot_keys", lambda df, key: [r["h"] for r in df.select(F.xxhash64(key).alias("h")).distinct().collect()])
+    monkeypatch.setattr(S, "broadcast_if_small", lambda df, of=None: df)
+    rows = [("g", v, d(1), f"k{i}", str(i // (v + 1))) for v in (1, 2, 5) for i in range(v, 30)] * 2
+    assert run(spark, rows) == brute(rows)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 
