@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.syntax import fault
 from lodestrata.operators.skew import hot_keys, skew_join
-from lodestrata.runtime import BROADCAST_LIMIT_BYTES, broadcast_if_small, materialize, partitions_for, stored_bytes
+from lodestrata.runtime import BROADCAST_LIMIT_BYTES, materialize, partitions_for, stored_bytes
 
 #: A last line closes texts when this share of the distinct texts, and at least CLOSING_TEXTS, end with it:
 #: there are never more than 1 / CLOSING_SHARE such lines.
@@ -193,8 +193,10 @@ def judge_texts(docs: DataFrame, keep: list[str], text: str, source: str) -> Dat
     small = stored_bytes(longer) * 4 <= BROADCAST_LIMIT_BYTES
     hot = [] if small else hot_keys(bare_texts, F.col("key"))
     seen = seen.join(F.broadcast(marks), "__key", "left") if small else skew_join(seen, marks, "__key", "left", hot, F.xxhash64(*keep))
-    lim = broadcast_if_small(limits)
-    out = seen.join(lim, "source", "left")
+    if stored_bytes(limits) * 4 <= BROADCAST_LIMIT_BYTES:
+        out = seen.join(F.broadcast(limits), "source", "left")
+    else:  # a source may hold a third of all rows
+        out = skew_join(seen, limits, "source", "left", hot_keys(filled, F.col("source")), F.xxhash64(*keep))
     at_limit = F.coalesce((F.col("chars") == F.col("chars_limit")) | F.col("bytes").between(F.col("bytes_limit") - BYTE_SLACK, F.col("bytes_limit")), F.lit(False))
     longer_copy = F.coalesce("__longer", F.lit(False))
     return out.select(*keep, "source", F.when(at_limit | longer_copy, ~F.col("stop")).otherwise(~F.col("whole")).alias("cut"), at_limit.alias("at_limit"), longer_copy.alias("has_longer"))
