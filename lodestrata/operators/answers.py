@@ -100,3 +100,28 @@ def module_documents(entities: DataFrame) -> DataFrame:
     g = entities.groupBy("crate_id", "module_path").agg(F.array_sort(F.collect_list(F.struct(F.col("kind"), F.col("name"), F.col("id"), line.alias("line")))).alias("rows"), F.count(F.lit(1)).alias("statements"))
     text = F.concat(F.lit("# "), F.coalesce("module_path", F.lit("(crate)")), F.lit("\n\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n"))
     return g.select("crate_id", "module_path", "statements", text.alias("body")).withColumn("sha256", F.sha2("body", 256)).withColumn("byte_length", F.octet_length("body").cast("long"))
+
+
+def validate_documents(manifest: DataFrame, bodies: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, state: sound, digest_differs, no_body or no_manifest; ``manifest`` has sha256 and byte_length, ``bodies`` body."""
+    m = manifest.select(*[F.col(k).alias(f"m_{k}") for k in keys], "sha256", "byte_length", F.lit(True).alias("__m"))
+    b = bodies.select(*keys, "body", F.lit(True).alias("__b"))
+    on = [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys]
+    rows = b.join(m, on, "full_outer")
+    same = (F.sha2("body", 256) == F.col("sha256")) & (F.octet_length("body") == F.col("byte_length"))
+    state = F.when(F.col("__b").isNull(), "no_body").when(F.col("__m").isNull(), "no_manifest").when(same, "sound").otherwise("digest_differs")
+    return rows.select(*[F.coalesce(F.col(k), F.col(f"m_{k}")).alias(k) for k in keys], state.alias("state"))
+
+
+def bind_documents(bound: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Documents of a compiler index against the inventory: path, state (bound, missing, differs).
+
+    Both have path, blob_oid, byte_length, sha256; a path that the inventory holds more than once is ambiguous.
+    """
+    mine = ["blob_oid", "byte_length", "sha256"]
+    inv = inventory.groupBy("path").agg(F.count(F.lit(1)).alias("__n"), *[F.min(c).alias(f"__{c}") for c in mine])
+    same = F.lit(True)
+    for c in mine:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    state = F.when(F.col("__n").isNull(), "missing").when(F.col("__n") > 1, "ambiguous").when(same, "bound").otherwise("differs")
+    return bound.join(inv, "path", "left").select("path", state.alias("state"))

@@ -183,3 +183,30 @@ def containment(parents: DataFrame, rule: str, edge_id: Column) -> DataFrame:
         edge_id.alias("id"), F.lit("CONTAINS").alias("kind"), F.col("parent").alias("source"), F.col("child").alias("target"), F.lit(rule).alias("rule_version"),
         F.array_join(F.array_sort(F.array_compact(F.array("parent_claim", "child_claim"))), ",").alias("input_claim_ids"),
     )
+
+
+def read_derivations(reaching: DataFrame, places: DataFrame, flow: DataFrame, closure: DataFrame) -> DataFrame:
+    """Why a read sees its definitions: callable, read_id, start_block, definitions, blocks.
+
+    ``reaching`` (callable, read_id, definition_id), ``places`` (callable, op_id, block), ``flow`` and ``closure``
+    (callable, source, target blocks). The slice starts at the only defining block, else at the latest block
+    from which all of them are reached (or that is one itself), else at the read's own; it holds the blocks
+    on any path from there to the read.
+    """
+    at = places.select("callable", F.col("op_id").alias("definition_id"), F.col("block").alias("def_block"))
+    here = places.select("callable", F.col("op_id").alias("read_id"), F.col("block").alias("read_block"))
+    defs = reaching.select("callable", "read_id", "definition_id").distinct().join(at, ["callable", "definition_id"])
+    each = defs.select("callable", "read_id", "def_block").distinct()
+    n = each.groupBy("callable", "read_id").agg(F.count(F.lit(1)).alias("n"), F.min("def_block").alias("only"))
+    above = closure.select("callable", F.col("source").alias("top"), F.col("target").alias("def_block"))
+    own = each.select("callable", F.col("def_block").alias("top"), "def_block").distinct()
+    shared = each.join(above.unionByName(own).distinct(), ["callable", "def_block"]).groupBy("callable", "read_id", "top").agg(F.count(F.lit(1)).alias("k")).join(n, ["callable", "read_id"]).where("k = n")
+    latest = shared.groupBy("callable", "read_id").agg(F.max("top").alias("common"))
+    start = n.join(latest, ["callable", "read_id"], "left").join(here, ["callable", "read_id"]).select("callable", "read_id", "read_block", F.when(F.col("n") == 1, F.col("only")).otherwise(F.coalesce("common", "read_block")).alias("start_block"))
+    self_ = start.select("callable", F.explode(F.array("start_block", "read_block")).alias("b")).distinct()
+    reach = closure.select("callable", "source", "target").unionByName(self_.select("callable", F.col("b").alias("source"), F.col("b").alias("target"))).distinct()
+    down = reach.select("callable", F.col("source").alias("start_block"), F.col("target").alias("b"))
+    up = reach.select("callable", F.col("target").alias("read_block"), F.col("source").alias("b"))
+    inside = start.join(down, ["callable", "start_block"]).join(up, ["callable", "read_block", "b"]).groupBy("callable", "read_id", "start_block").agg(F.array_sort(F.collect_set("b")).alias("blocks"))
+    listed = defs.groupBy("callable", "read_id").agg(F.array_sort(F.collect_set("definition_id")).alias("definitions"))
+    return start.select("callable", "read_id", "start_block").join(listed, ["callable", "read_id"]).join(inside, ["callable", "read_id", "start_block"], "left")

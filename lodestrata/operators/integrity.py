@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.functions.scalars import is_transition
 
@@ -64,3 +65,34 @@ def identity_union(a: DataFrame, b: DataFrame, key: str) -> tuple[DataFrame, Dat
     both = a.unionByName(b).distinct()
     twice = both.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
     return both.join(twice, key, "left_anti"), twice
+
+
+class LimitExceeded(ValueError):
+    """A table has more rows than its limit allows."""
+
+
+def within_limit(rows: DataFrame, limit: int, name: str) -> DataFrame:
+    """``rows`` if there are at most ``limit``; else an error, never a cut table. Counting stops after the limit."""
+    if rows.limit(limit + 1).count() > limit:
+        raise LimitExceeded(f"{name}: more than {limit}")
+    return rows
+
+
+def denied_fields(schema: T.StructType, denied: set[str]) -> list[str]:
+    """Dotted paths of the fields, at any depth, whose name is denied: a privacy check of what is to be published."""
+    out: list[str] = []
+
+    def walk(t: T.DataType, at: str) -> None:
+        if isinstance(t, T.StructType):
+            for f in t.fields:
+                path = f"{at}.{f.name}" if at else f.name
+                if f.name.lower() in denied:
+                    out.append(path)
+                walk(f.dataType, path)
+        elif isinstance(t, T.ArrayType):
+            walk(t.elementType, at)
+        elif isinstance(t, T.MapType):
+            walk(t.valueType, at)
+
+    walk(schema, "")
+    return out

@@ -223,7 +223,10 @@ def evidence_union(spark, d):
     return x.groupBy("repository_identity", "role").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("e")), ",")).alias("digest"))
 
 
-@query(None)
+@query(f"""WITH {V.CACHE}, r AS (SELECT *, 'first' AS at_rev FROM old_rev UNION ALL SELECT *, 'last' FROM new_rev),
+e AS (SELECT repository_identity, at_rev, CAST('0x' || substr(sha256(path), 1, 3) AS INTEGER) AS part, CAST(to_json([path, coalesce(blob, ''), coalesce(payload_hash, '')]) AS VARCHAR) AS entry FROM r),
+p AS (SELECT repository_identity, at_rev, part, sha256(string_agg(entry, chr(10) ORDER BY entry)) AS h, count(*) AS n FROM e GROUP BY 1, 2, 3)
+SELECT repository_identity, at_rev AS at, sha256(string_agg(h, chr(10) ORDER BY part)) AS digest, CAST(sum(n) AS BIGINT) AS rows FROM p GROUP BY 1, 2""")
 def generation_hash(spark, d):
     """Digest of every repository's first and last snapshot; equal contents give equal digests."""
     rows = V.revision(spark, d, "first").withColumn("at", F.lit("first")).unionByName(V.revision(spark, d, "last").withColumn("at", F.lit("last")))
@@ -652,7 +655,8 @@ def source_excerpt(spark, d):
     return answers.source_excerpts(ev, f.select("path", "blob_oid", "bytes"))
 
 
-@query(None)
+@query(f"""WITH {V.CODE}, m AS (SELECT crate_id, module_path, count(*) AS statements, '# ' || coalesce(module_path, '(crate)') || chr(10) || chr(10) || string_agg('- `' || coalesce(name, '?') || '` (' || kind || ')', chr(10) ORDER BY kind, name NULLS FIRST, id) || chr(10) AS body FROM ent GROUP BY 1, 2)
+SELECT crate_id, module_path, statements, body, sha256(body) AS sha256, CAST(strlen(body) AS BIGINT) AS byte_length FROM m""")
 def docs_overview(spark, d):
     return answers.module_documents(V.entities(spark, d))
 
@@ -664,6 +668,13 @@ def docs_lines(spark, d):
     return t.select("crate_id", "module_path", "statements", F.md5(body).alias("lines"))
 
 
+@query(f"""WITH {V.CODE}, m AS (SELECT crate_id, module_path, count(*) AS n FROM ent GROUP BY 1, 2) SELECT 'sound' AS state, count(*) AS documents FROM m""")
+def docs_validation(spark, d):
+    """Generated documents held against their own manifest: bytes and digest of every body agree."""
+    t = answers.module_documents(V.entities(spark, d))
+    return answers.validate_documents(t.select("crate_id", "module_path", "sha256", "byte_length"), t.select("crate_id", "module_path", "body"), ["crate_id", "module_path"]).groupBy("state").agg(F.count(F.lit(1)).alias("documents"))
+
+
 @query(f"WITH {V.CODE} SELECT id, path FROM evid WHERE id NOT IN (SELECT unnest(evidence_ids) FROM decl)")
 def sweep_unreferenced(spark, d):
     refs = V.declarations(spark, d).select(F.explode("evidence_ids").alias("id"))
@@ -679,7 +690,11 @@ def violations(spark, d):
     return integrity.violations(ent, rel, V.claims(spark, d), materialize(V.evidence(spark, d), "evidence"))
 
 
-@query(None)
+@query(f"""WITH {V.CODE}, f AS (SELECT 'entities' AS family, id, CAST(to_json([id, coalesce(crate_id, ''), coalesce(kind, ''), coalesce(module_path, ''), coalesce(name, ''), coalesce(owner_id, ''), coalesce(visibility, '')]) AS VARCHAR) AS entry FROM ent
+  UNION ALL SELECT 'evidence', id, CAST(to_json([id, coalesce(blob_oid, ''), coalesce(CAST(end_byte AS VARCHAR), ''), coalesce(path, ''), coalesce(CAST(start_byte AS VARCHAR), '')]) AS VARCHAR) FROM evid
+  UNION ALL SELECT 'relationships', id, CAST(to_json([id, kind, source, target]) AS VARCHAR) FROM edge),
+p AS (SELECT family, CAST('0x' || substr(sha256(id), 1, 3) AS INTEGER) AS part, sha256(string_agg(entry, chr(10) ORDER BY entry)) AS h, count(*) AS n FROM f GROUP BY 1, 2)
+SELECT family, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(h, chr(10) ORDER BY part)) AS digest FROM p GROUP BY 1""")
 def portable_manifest(spark, d):
     """Rows and digest of every family: what an export of the graph is checked by."""
     return store.portable_graph({"entities": V.entities(spark, d), "relationships": V.edges(spark, d), "evidence": V.evidence(spark, d)})

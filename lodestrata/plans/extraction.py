@@ -105,7 +105,10 @@ def rust_flow_reaches(spark, d):
 def rust_reaching_definitions(spark, d):
     """Which parameter, let or assignment reaches each read of a supported callable, surely (must) or perhaps (may)."""
     t = _whole(spark, d)
-    blocks, arcs = _flow(t)
+    return _reaching(t, *_flow(t))
+
+
+def _reaching(t: DataFrame, blocks: DataFrame, arcs: DataFrame) -> DataFrame:
     spot = t.where("kind IN ('rust.expression', 'rust.pattern_binding')").select(F.col("owner_id").alias("callable"), F.col("id").alias("op"), F.col("name").alias("binding"), "kind", "detail", F.col("start_byte").alias("at"), "end_byte", "ordinal")
     inside = spot.join(blocks, "callable").where("start <= at AND end_byte <= end")
     # a read happens where it stands, a write at its statement's end, a parameter before the first block's text
@@ -117,6 +120,39 @@ def rust_reaching_definitions(spark, d):
     return graph.reaching_definitions(use.unionByName(put).unionByName(params), arcs.select("callable", "source", "target"))
 
 
+@query
+def rust_read_derivations(spark, d):
+    """The slice of blocks and the definitions that explain each read of a supported callable."""
+    t = _whole(spark, d)
+    blocks, arcs = _flow(t)
+    reaching = materialize(_reaching(t, blocks, arcs), "reaching")
+    spot = t.where("kind IN ('rust.expression', 'rust.pattern_binding')").select(F.col("owner_id").alias("callable"), F.col("id").alias("op"), "kind", "detail", F.col("start_byte").alias("at"), "end_byte")
+    inside = spot.join(blocks, "callable").where("start <= at AND end_byte <= end")
+    first = blocks.where("block = 0").select("callable", "block")
+    params = spot.where("detail LIKE 'parameter:%'").join(first, "callable").select("callable", F.concat("op", F.lit("!")).alias("op_id"), "block")
+    places = inside.select("callable", F.col("op").alias("op_id"), "block").unionByName(inside.where("detail NOT LIKE 'parameter:%'").select("callable", F.concat("op", F.lit("!")).alias("op_id"), "block")).unionByName(params).distinct()
+    closure = rust_flow_reaches(spark, d)
+    return graph.read_derivations(reaching, places, arcs, closure)
+
+
+@query
+def rust_alternatives(spark, d):
+    """Declarations of one file, owner, kind and name that stand two or more times under cfg attributes."""
+    t = _rust(spark, d).where("detail = 'conditional_unknown'")
+    return t.groupBy("file_id", "owner", "kind", "module_path", "name").agg(F.count(F.lit(1)).alias("alternatives"), F.array_sort(F.collect_list("local_id")).alias("members")).where("alternatives >= 2")
+
+
+@query
+def rust_registrations(spark, d):
+    """Builder calls and attributes by which a service's parts are declared, with the local function a target names."""
+    t = _whole(spark, d)
+    rows = t.where("kind IN ('framework.registration', 'framework.candidate')").select(F.col("id").alias("ref_id"), F.col("file_id").cast("string").alias("file"), "name", "detail")
+    refs = rows.select("ref_id", "file", F.regexp_extract("detail", r"(\w+)\W*$", 1).alias("target_name"))
+    catalog = t.where("kind = 'rust.function'").select("id", F.col("file_id").cast("string").alias("file"), F.col("name").alias("target_name"))
+    bound = resolve.trichotomy(refs, catalog, ["file", "target_name"], ("unresolved_external", "resolved_unique", "ambiguous_local"))
+    return rows.join(bound, "ref_id").select("ref_id", F.col("name").alias("role"), "detail", "state", "target")
+
+
 @query
 def rust_constants(spark, d):
     """Values of constants and of enum variants with an explicit value, evaluated in the order of their dependencies."""

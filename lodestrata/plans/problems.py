@@ -304,6 +304,7 @@ SQL = {
     "p1_found": _p1_sql() + "SELECT * FROM found",
     "p1_by_table_and_period": _p1_sql() + "SELECT src_table, ref_field, period, status, count(*) AS orphans, count(DISTINCT record_id) AS records FROM found GROUP BY ALL",
     "p3_found": _p3_sql(),
+    "p3_paths": _p3_sql().replace("SELECT id AS node_id, root AS root_id, depth FROM tree", "SELECT id AS node_id, path AS full_path, depth, root AS root_id FROM tree").replace("SELECT s.id, '', CASE WHEN r.id IS NULL THEN -2 ELSE -1 END FROM stuck", "SELECT s.id, '', CASE WHEN r.id IS NULL THEN -2 ELSE -1 END, '' FROM stuck"),
     "p3_descendants": f"WITH RECURSIVE {_P3_TREE.strip()} SELECT a AS ancestor, id AS descendant, depth - (i - 1) AS distance FROM (SELECT id, depth, unnest(ids) AS a, generate_subscripts(ids, 1) AS i FROM tree) WHERE depth - (i - 1) > 0",
     "p3_descendant_counts": f"WITH RECURSIVE {_P3_TREE.strip()} SELECT a AS ancestor, count(*) AS descendants, max(depth - (i - 1)) AS height FROM (SELECT id, depth, unnest(ids) AS a, generate_subscripts(ids, 1) AS i FROM tree) WHERE depth - (i - 1) > 0 GROUP BY a",
     "p4_found": f"WITH {_P4_CTES.strip()} SELECT * FROM p4",

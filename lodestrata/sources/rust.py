@@ -28,6 +28,11 @@ ASSIGN = {"=", "+=", "-=", "*=", "/=", "%=", "^=", "&=", "|=", "<<=", ">>="}
 NO_FLOW = {"match", "while", "for", "loop", "return", "break", "continue", "await", "async", "unsafe", "const"}
 
 
+#: Builder methods that register parts of a service, and attributes that may.
+BUILDERS = {"component", "service", "layer", "route_layer", "handler", "with_state", "configuration", "endpoint", "route", "group", "nest"}
+MARKS = {"route", "component", "service", "configuration", "command", "get", "post", "put", "delete", "patch", "head"}
+
+
 class Unlexable(ValueError):
     pass
 
@@ -175,6 +180,9 @@ def items(f: Facts, nodes: list, module: str, owner: str, inherited: str = "") -
         if i >= len(nodes):
             break
         a = nodes[start].a
+        for mark in names:
+            if mark in MARKS:
+                f.add("framework.candidate", a, nodes[i].b, owner, mark, detail="candidate_unresolved", module=module)
         presence = "conditional_unknown" if cfg else "unconditional"
         i, vis = visibility_at(f, nodes, i)
         vis = vis if vis != "private" else (inherited or vis)
@@ -374,6 +382,11 @@ class Body:
                     spelling = "".join(x.text for x in nodes[first : i + 1])
                     if method:
                         self.fact("rust.call_site", n.a, nxt.b, spelling, "method")
+                        if n.text in BUILDERS:
+                            args = parts(nxt.nodes)
+                            key = args[0][0].text if args and len(args[0]) == 1 and args[0][0].kind == "lit" else ""
+                            target = self.f.text(args[-1]) if args and not (key and len(args) == 1) else ""
+                            self.f.add("framework.registration", n.a, nxt.b, self.own, n.text, detail=f"{key}|{target}", module=self.module)
                     elif not n.text[:1].isupper():
                         self.fact("rust.call_site", nodes[first].a, nxt.b, spelling, "path")
                 elif not is_(prev, ".", "::") and not is_(nxt, "::"):

@@ -164,3 +164,21 @@ def test_excerpts(spark):
     ok = got["ok"]
     assert (ok["excerpt"], ok["start_line"], ok["start_column"], ok["end_line"], ok["end_column"]) == ("zwei", 2, 1, 2, 5)
     assert {k: got[k]["problem"] for k in ("mid", "far", "none", "long")} == {"mid": "inside_character", "far": "out_of_range", "none": "no_file", "long": "too_long"}
+
+
+def test_documents_limits_and_denied_fields(spark):
+    import pytest
+    from pyspark.sql import types as T
+
+    m = spark.createDataFrame([("a", "x", 1), ("b", "x", 1), (None, "x", 1)], "k string, sha256 string, byte_length long").withColumn("sha256", F.sha2(F.lit("t"), 256))
+    b = spark.createDataFrame([("a", "t"), ("c", "t"), (None, "u")], "k string, body string")
+    assert rows(answers.validate_documents(m, b, ["k"]), "k", "state") == [("a", "sound"), ("b", "no_body"), ("c", "no_manifest"), (None, "digest_differs")]
+    doc = "path string, blob_oid string, byte_length long, sha256 string"
+    inv = spark.createDataFrame([("p", "1", 1, "x"), ("q", "2", 2, None), ("r", "1", 1, "x"), ("r", "1", 1, "x")], doc)
+    bound = spark.createDataFrame([("p", "1", 1, "x"), ("q", "2", 3, None), ("z", "1", 1, "x"), ("r", "1", 1, "x")], doc)
+    assert rows(answers.bind_documents(bound, inv), "path", "state") == [("p", "bound"), ("q", "differs"), ("r", "ambiguous"), ("z", "missing")]
+    assert integrity.within_limit(inv, 4, "x").count() == 4
+    with pytest.raises(integrity.LimitExceeded):
+        integrity.within_limit(inv, 3, "x")
+    schema = T.StructType([T.StructField("a", T.ArrayType(T.StructType([T.StructField("Token", T.StringType())]))), T.StructField("m", T.MapType(T.StringType(), T.StructType([T.StructField("secret", T.StringType())])))])
+    assert integrity.denied_fields(schema, {"token", "secret"}) == ["a.Token", "m.secret"]

@@ -65,6 +65,11 @@ def test_flow_queries_on_a_fixture(spark, tmp_path):
     start = {r["id"]: RUST.encode()[r["start_byte"] :][:24].decode() for r in t.collect()}
     reach = {(start[r["read_id"]][:5], start[r["definition_id"][:-1]][:9], r["mode"]) for r in E.rust_reaching_definitions(spark, d).collect()}
     assert ("total", "total = t", "may") in reach and ("total", "total = 0", "may") in reach and ("a > 3", "a: u64) -", "must") in reach and ("total", "total = a", "must") in reach
+    why = {start[r["read_id"]][:12]: r for r in E.rust_read_derivations(spark, d).collect()}
+    tail = next(r for k, r in why.items() if k.startswith("total;") and len(r["definitions"]) == 2)
+    assert tail["start_block"] == 1 and tail["blocks"] == [1, 2, 3, 4]
+    only = next(r for k, r in why.items() if k.startswith("a > 3"))
+    assert only["start_block"] == 0 and only["blocks"] == [0, 1] and len(only["definitions"]) == 1
     values = {r["name"]: r["value"] for r in E.rust_constants(spark, d).collect()}
     assert values == {"BASE": "14", "NEXT": "9", "LOOP_A": None, "LOOP_B": None, "BIG": None, "Warm": "3"}
     calls = {(r["tier"]) for r in E.rust_calls(spark, d).collect()}
@@ -73,6 +78,17 @@ def test_flow_queries_on_a_fixture(spark, tmp_path):
     assert kinds == {"READS", "WRITES"}
 
 
+def test_registrations_and_alternatives(spark, tmp_path):
+    from lodestrata.plans import extraction as E
+
+    text = 'fn app() { Router::new().route("/x", get(show)).service(far::away).layer("only"); }\nfn show() {}\n#[get("/y")]\nfn y() {}\nimpl A { #[cfg(unix)] fn go() {} #[cfg(windows)] fn go() {} fn other() {} }\n'
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "a.rs", text)], "file_id long, canonical_source_path string, source_text string").write.parquet(f"{d}/source_files.parquet")
+    got = {(r["role"], r["detail"], r["state"]) for r in E.rust_registrations(spark, d).collect()}
+    assert got == {("route", '"/x"|get(show)', "resolved_unique"), ("service", "|far::away", "unresolved_external"), ("layer", '"only"|', "unresolved_external"), ("get", "candidate_unresolved", "unresolved_external")}
+    assert [(r["name"], r["alternatives"]) for r in E.rust_alternatives(spark, d).collect()] == [("go", 2)]
+
+
 def test_constant_rules():
     ev = lambda t, p, **k: constants.evaluate(constants.parse(t), p, k)
     assert ev("1 + 2 * 3 == 7 && !false", "bool") is True and ev("-7 / 2", "i32") == -3 and ev("-7 % 2", "i32") == -1 and ev("!0", "u8") == 255 and ev("0xFF & 0b1010", "u8") == 10 and ev("-128", "i8") == -128
