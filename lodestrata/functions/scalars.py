@@ -98,12 +98,12 @@ def url_kind(col: Column | str) -> Column:
     return (
         F.when(u.startswith("./") | u.startswith("../"), "relative")
         .when(u.startswith("/"), "absolute_path")
-        .when(u.startswith("file://"), "file")
-        .when(u.startswith("ssh://"), "ssh")
-        .when(u.startswith("https://"), "https")
-        .when(u.startswith("http://"), "http")
-        .when(u.startswith("git://"), "git")
-        .when(u.rlike(r"^[^/:]+:[^/].*$") & ~u.contains("://"), "scp_like")
+        .when(u.startswith("file:"), "file")
+        .when(u.startswith("ssh:"), "ssh")
+        .when(u.startswith("https:"), "https")
+        .when(u.startswith("http:"), "http")
+        .when(u.startswith("git:"), "git")
+        .when(u.rlike(r"^[^/@:\s]+@[^/:\s]+:.+$"), "scp_like")
         .when(u.isNotNull(), "other")
     )
 

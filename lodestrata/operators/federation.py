@@ -67,8 +67,8 @@ def refresh_rule(plans: DataFrame, changes: DataFrame, stable: DataFrame) -> Dat
     """
     known = stable.select("plan_id", "path").distinct().withColumn("__stable", F.lit(True))
     c = changes.join(known, ["plan_id", "path"], "left")
-    base = F.substring_index("path", "/", -1)
-    manifest = base.isin("Cargo.toml", "Cargo.lock")
+    # inputs of the map of modules: a change there can change which sources belong to which crate
+    manifest = (F.col("path") == "Cargo.toml") | F.col("path").rlike(r"/(Cargo\.toml|src/lib\.rs|src/main\.rs|mod\.rs)$")
     rust = F.col("path").endswith(".rs")
     wide = F.col("content_changed") & (manifest | (rust & ((F.col("change_kind") != "modified") | F.col("__stable").isNull())))
     seen = c.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(wide).alias("wide"), F.bool_or(rust & F.col("content_changed")).alias("part"))

@@ -79,8 +79,8 @@ def slug_frequency(spark, d):
     return m.join(n, "slug").select("crate_id", "slug", F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.substring(F.sha2("crate_id", 256), 1, 8))).alias("document"))
 
 
-@query("""SELECT doc_id, CASE WHEN u LIKE './%' OR u LIKE '../%' THEN 'relative' WHEN u LIKE '/%' THEN 'absolute_path' WHEN u LIKE 'file://%' THEN 'file' WHEN u LIKE 'ssh://%' THEN 'ssh' WHEN u LIKE 'https://%' THEN 'https' WHEN u LIKE 'http://%' THEN 'http' WHEN u LIKE 'git://%' THEN 'git'
-  WHEN regexp_matches(u, '^[^/:]+:[^/].*$') AND NOT contains(u, '://') THEN 'scp_like' WHEN u IS NOT NULL THEN 'other' END AS url_kind
+@query("""SELECT doc_id, CASE WHEN u LIKE './%' OR u LIKE '../%' THEN 'relative' WHEN u LIKE '/%' THEN 'absolute_path' WHEN u LIKE 'file:%' THEN 'file' WHEN u LIKE 'ssh:%' THEN 'ssh' WHEN u LIKE 'https:%' THEN 'https' WHEN u LIKE 'http:%' THEN 'http' WHEN u LIKE 'git:%' THEN 'git'
+  WHEN regexp_matches(u, '^[^/@:\\s]+@[^/:\\s]+:.+$') THEN 'scp_like' WHEN u IS NOT NULL THEN 'other' END AS url_kind
 FROM (SELECT doc_id, CASE lang WHEN 'en' THEN 'https://host/' || source WHEN 'de' THEN 'git@host:' || source WHEN 'fr' THEN '../' || source WHEN 'es' THEN 'ssh://host/' || source ELSE source END AS u FROM documents)""")
 def url_kind(spark, d):
     u = F.when(F.col("lang") == "en", F.concat(F.lit("https://host/"), "source")).when(F.col("lang") == "de", F.concat(F.lit("git@host:"), "source")).when(F.col("lang") == "fr", F.concat(F.lit("../"), "source")).when(F.col("lang") == "es", F.concat(F.lit("ssh://host/"), "source")).otherwise(F.col("source"))
@@ -414,9 +414,9 @@ def stable_sources(spark, d):
 
 
 _RULE = f"""WITH {V.CACHE}, st AS (SELECT n.repository_identity AS r, n.path FROM new_rev n WHERE EXISTS (SELECT 1 FROM old_rev o WHERE {' AND '.join(f'o.{c} = n.{c}' for c in _EIGHT)})),
-ch AS (SELECT plan_id, repository_identity AS r, {_SQL_PATH.format('c.path')} AS path, c.change_kind AS kind, lower(trim(c.baseline_blob_oid)) IS DISTINCT FROM lower(trim(c.target_blob_oid)) AS content FROM (SELECT plan_id, repository_identity, unnest(changed_paths) AS c FROM refresh_plans)),
+ch AS (SELECT plan_id, repository_identity AS r, {_SQL_PATH.format('c.path')} AS path, c.change_kind AS kind, c.change_kind <> 'modified' OR lower(trim(c.baseline_blob_oid)) IS DISTINCT FROM lower(trim(c.target_blob_oid)) AS content FROM (SELECT plan_id, repository_identity, unnest(changed_paths) AS c FROM refresh_plans)),
 x AS (SELECT ch.*, st.path IS NOT NULL AS stable FROM ch LEFT JOIN st ON st.r = ch.r AND st.path = ch.path),
-s AS (SELECT plan_id, count(*) AS n, bool_or(content AND (list_extract(string_split(path, '/'), -1) IN ('Cargo.toml', 'Cargo.lock') OR (path LIKE '%.rs' AND (kind <> 'modified' OR NOT stable)))) AS wide, bool_or(content AND path LIKE '%.rs') AS part FROM x GROUP BY 1),
+s AS (SELECT plan_id, count(*) AS n, bool_or(content AND (path = 'Cargo.toml' OR path LIKE '%/Cargo.toml' OR path LIKE '%/src/lib.rs' OR path LIKE '%/src/main.rs' OR path LIKE '%/mod.rs' OR (path LIKE '%.rs' AND (kind <> 'modified' OR NOT stable)))) AS wide, bool_or(content AND path LIKE '%.rs') AS part FROM x GROUP BY 1),
 o AS (SELECT p.plan_id, CASE WHEN p.baseline_generation IS NULL THEN 'full_rebuild' WHEN p.baseline_generation = p.target_generation AND coalesce(n, 0) = 0 THEN 'no_change' WHEN coalesce(wide, false) THEN 'full_workspace_analysis' WHEN coalesce(part, false) THEN 'partial_analysis' ELSE 'inventory_only' END AS outcome FROM refresh_plans p LEFT JOIN s ON s.plan_id = p.plan_id)
 SELECT plan_id, outcome, 'INC-RULE-' || CASE outcome WHEN 'full_rebuild' THEN '002' WHEN 'full_workspace_analysis' THEN '003' WHEN 'partial_analysis' THEN '004' WHEN 'inventory_only' THEN '005' ELSE '006' END AS rule_id FROM o"""
 
@@ -427,7 +427,7 @@ def refresh_rule(spark, d):
     plans = t.select("plan_id", F.coalesce(F.col("baseline_generation") == F.col("target_generation"), F.lit(False)).alias("same_commit"), F.col("baseline_generation").isNotNull().alias("compatible"))
     c = t.select("plan_id", "repository_identity", F.explode("changed_paths").alias("c"))
     blob = lambda s: F.lower(F.btrim(F.col(f"c.{s}_blob_oid")))
-    changes = c.select("plan_id", "repository_identity", plain_path(F.col("c.path")).alias("path"), F.col("c.change_kind").alias("change_kind"), (~blob("baseline").eqNullSafe(blob("target"))).alias("content_changed"))
+    changes = c.select("plan_id", "repository_identity", plain_path(F.col("c.path")).alias("path"), F.col("c.change_kind").alias("change_kind"), ((F.col("c.change_kind") != "modified") | ~blob("baseline").eqNullSafe(blob("target"))).alias("content_changed"))
     stable = changes.join(stable_sources(spark, d), ["repository_identity", "path"], "left_semi").select("plan_id", "path")
     return federation.refresh_rule(plans, changes.drop("repository_identity"), stable)
 

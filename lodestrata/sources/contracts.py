@@ -133,22 +133,20 @@ def fields(doc: dict, schema, pointer: str, method: str, path: str, status: str,
         fields(doc, inner, at, method, path, status, out, depth + 1)
 
 
-#: How a client reads a member: strictly, or allowing for its absence.
-_STRICT = re.compile(r'\bpayload\.getValue\("([^"\\]+)"\)')
-_LOOSE = re.compile(r'\bpayload\["([^"\\]+)"\](\s*(?:\?\.|\?:))?')
 _ROUTE = re.compile(r'\b(?:get|request|fetch)\(\s*("/[^"]*")')
-_FUN = re.compile(r"\bfun\s+(\w+)\s*\(")
+_FUN = re.compile(r"\bfun\s+(\w+)\s*\(\s*(?:(\w+)\s*:)?")
 
 
 def kotlin_assumptions(text: str) -> list[tuple]:
-    """(kind, function, name, detail): what each function of a client assumes of a payload's members, and the paths it calls."""
+    """(kind, function, name, detail): what each function of a client assumes of its first parameter's members, and the paths it calls."""
     code = re.sub(r"//[^\n]*|/\*.*?\*/", " ", text, flags=re.S)
     out = []
-    starts = [(m.start(), m.group(1)) for m in _FUN.finditer(code)]
-    for i, (a, name) in enumerate(starts):
-        body = code[a : starts[i + 1][0] if i + 1 < len(starts) else len(code)]
-        strict = {m.group(1) for m in _STRICT.finditer(body)}
-        loose = {m.group(1): bool(m.group(2)) for m in _LOOSE.finditer(body)}
+    starts = list(_FUN.finditer(code))
+    for i, f in enumerate(starts):
+        name, payload = f.group(1), re.escape(f.group(2) or "payload")
+        body = code[f.end() : starts[i + 1].start() if i + 1 < len(starts) else len(code)]
+        strict = set(re.findall(rf'\b{payload}\.getValue\("([^"\\]+)"\)', body))
+        loose = {k: bool(safe) for k, safe in re.findall(rf'\b{payload}\["([^"\\]+)"\](\s*(?:\?\.|\?:))?', body)}
         for key in sorted(strict | set(loose)):
             how = "requires_present" if key in strict else "handles_absent" if loose[key] else "unknown"
             out.append(("assumption", name, key, how))
@@ -163,29 +161,35 @@ _PROVIDER = re.compile(r'\b\w+\.insert\(\s*"([^"\\]+)"|"(?:[^"\\]|\\.)*"|(\bif\b
 
 
 def provider_presence(text: str) -> list[tuple[str, str]]:
-    """(field, presence) of a Rust provider that fills a map: inserted outside any if, or only inside one.
+    """(field, presence) of a Rust provider that fills a map.
 
-    A member inserted in a branch may be absent unless it is also inserted outside; extending the map from
-    elsewhere is a custom mapping, field ``*`` of unknown presence.
+    A member inserted outside any if is guaranteed; one inserted only in an if without else may be absent;
+    one in an if that has an else is unsupported. Extending the map from elsewhere is a custom mapping,
+    field ``*`` of unknown presence.
     """
     code = re.sub(r"//[^\n]*|/\*.*?\*/", " ", text, flags=re.S)
-    stack: list[bool] = []
-    found: dict[str, str] = {}
+    stack: list[tuple[str, set[str]]] = []
+    found: dict[str, set[str]] = {}
     for m in _PROVIDER.finditer(code):
         field, branch, other, brace, extend = m.groups()
         if field:
-            now = "may_be_absent" if any(stack) else "guaranteed_present"
-            found[field] = "guaranteed_present" if "guaranteed_present" in (found.get(field), now) else now
+            inside = [s for s in stack if s[0] != "block"]
+            found.setdefault(field, set()).add("guaranteed_present" if not inside else "unsupported" if any(k == "else" for k, _ in inside) else "may_be_absent")
+            for _, fields_ in inside:
+                fields_.add(field)
         elif branch or other:
-            stack.append(True)
+            stack.append(("if" if branch else "else", set()))
         elif brace == "{":
-            stack.append(False)
-        elif brace == "}":
-            if stack:
-                stack.pop()
+            stack.append(("block", set()))
+        elif brace == "}" and stack:
+            kind, inserted = stack.pop()
+            if kind == "if" and re.match(r"\s*else\b", code[m.end() : m.end() + 40]):
+                for x in inserted:
+                    found[x].add("unsupported")
         elif extend:
-            found.setdefault("*", "unknown")
-    return sorted(found.items())
+            found.setdefault("*", {"unknown"})
+    order = ("guaranteed_present", "unsupported", "may_be_absent", "unknown")
+    return sorted((k, next(o for o in order if o in v)) for k, v in found.items())
 
 
 def _rows(files: DataFrame, keep: list[str], text: str, columns: tuple[str, ...], read) -> DataFrame:

@@ -16,7 +16,7 @@ def each(spark, f, values):
 def test_text_forms(spark):
     assert each(spark, S.module_slug, ["workspace_A::b_c", "a  b", "::", "", None, "-x-"]) == ["a-b-c", None, None, None, None, "x"]
     assert each(spark, S.markdown_code, ["<a>&`[x]`", None]) == ["&lt;a&gt;&amp;&#96;&#91;x&#93;&#96;", None]
-    assert each(spark, S.url_kind, ["./x", "/x", "file:///x", "ssh://h", "https://h", "http://h", "git://h", "git@h:x", "weird", None]) == ["relative", "absolute_path", "file", "ssh", "https", "http", "git", "scp_like", "other", None]
+    assert each(spark, S.url_kind, ["./x", "/x", "file:///x", "ssh://h", "https://h", "http://h", "git://h", "git@h:x", "h:x", "weird", None]) == ["relative", "absolute_path", "file", "ssh", "https", "http", "git", "scp_like", "other", "other", None]
     assert each(spark, S.normal_path, ["a/./b/../c", "../x", "/abs", "a\\b", "", None]) == ["a/c", None, None, None, "", None]
     assert each(spark, S.http_path, ['"/users/$id"', '"/a//b"', '"/a/"', '"/"', "/bare", '"/{x}"']) == ["/users/{id}", None, None, "/", None, None]
     assert each(spark, S.visibility, ["pub fn x", "pub(crate) fn x", "fn x"]) == ["public", "restricted:crate", "private"]

@@ -152,7 +152,9 @@ def test_clients_and_providers():
     k = contracts.kotlin_assumptions('fun a(payload: Map<String, Any?>) { payload.getValue("x"); payload["y"]?.toString(); payload["z"] /* payload.getValue("no") */ }\nfun b() = get("/users/$id")')
     assert k == [("assumption", "a", "x", "requires_present"), ("assumption", "a", "y", "handles_absent"), ("assumption", "a", "z", "unknown"), ("call", "b", "/users/{id}", "")]
     p = contracts.provider_presence('fn f() { m.insert("a", 1); if x { m.insert("b", 2); } else { y(); } // m.insert("c", 1)\n }')
-    assert p == [("a", "guaranteed_present"), ("b", "may_be_absent")] and contracts.provider_presence("m.extend(x);") == [("*", "unknown")]
+    assert p == [("a", "guaranteed_present"), ("b", "unsupported")]
+    assert contracts.provider_presence('if x { m.insert("b", 2); } m.insert("d", {1});') == [("b", "may_be_absent"), ("d", "guaranteed_present")]
+    assert contracts.kotlin_assumptions('fun a(p: Map<String, Any?>) = p.getValue("x")') == [("assumption", "a", "x", "requires_present")] and contracts.provider_presence("m.extend(x);") == [("*", "unknown")]
 
 
 def vint(n):
