@@ -211,16 +211,20 @@ def role_pivot(spark, d):
     return V.declarations(spark, d).groupBy("repository_identity").agg(*[F.count(F.when(F.col("role") == r, 1)).alias(r) for r in roles], F.count(F.lit(1)).alias("total"))
 
 
-@query(f"WITH {V.CODE} SELECT crate_id, module_path, kind, name, count(*) AS alternatives, string_agg(id, ',' ORDER BY id) AS members FROM ent WHERE name IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2")
+@query(f"""WITH {V.CODE}, n AS (SELECT *, count(*) OVER (PARTITION BY kind, name) AS alternatives FROM ent WHERE name IS NOT NULL) SELECT id, kind, name, alternatives FROM n WHERE alternatives >= 2""")
 def alternatives_having2(spark, d):
-    g = V.entities(spark, d).where("name IS NOT NULL").groupBy("crate_id", "module_path", "kind", "name").agg(F.count(F.lit(1)).alias("alternatives"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members"))
-    return g.where("alternatives >= 2")
+    """Members of groups of two or more of one kind and name: a row each, so that no group is gathered whole."""
+    e = V.entities(spark, d).where("name IS NOT NULL").select("id", "kind", "name")
+    n = e.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("alternatives")).where("alternatives >= 2")
+    return e.join(n, ["kind", "name"]).select("id", "kind", "name", "alternatives")
 
 
-@query(f"WITH {V.CODE} SELECT repository_identity, role, count(DISTINCT e) AS n, md5(string_agg(DISTINCT e, ',' ORDER BY e)) AS digest FROM (SELECT repository_identity, role, unnest(evidence_ids) AS e FROM decl) GROUP BY 1, 2")
+@query(f"""WITH {V.CODE}, u AS (SELECT DISTINCT repository_identity, role, unnest(evidence_ids) AS e FROM decl), p AS (SELECT repository_identity, role, CAST('0x' || substr(sha256(e), 1, 3) AS INTEGER) AS part, sha256(string_agg('["' || e || '"]', chr(10) ORDER BY e)) AS h, count(*) AS n FROM u GROUP BY 1, 2, 3)
+SELECT repository_identity, role, sha256(string_agg(h, chr(10) ORDER BY part)) AS digest, CAST(sum(n) AS BIGINT) AS rows FROM p GROUP BY 1, 2""")
 def evidence_union(spark, d):
+    """The distinct evidence of a repository's roles: its size and a two-level digest of the sorted ids."""
     x = V.declarations(spark, d).select("repository_identity", "role", F.explode("evidence_ids").alias("e")).distinct()
-    return x.groupBy("repository_identity", "role").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("e")), ",")).alias("digest"))
+    return integrity.generation_hash(x, ["repository_identity", "role"], "e", [])
 
 
 @query(f"""WITH {V.CACHE}, r AS (SELECT *, 'first' AS at_rev FROM old_rev UNION ALL SELECT *, 'last' FROM new_rev),
