@@ -59,6 +59,11 @@ def looks_like_code(text: str) -> bool:
     return bool(lines) and sum(bool(CODE_LINE.match(x)) for x in lines) >= 0.6 * len(lines)
 
 
+def parses(text: str) -> bool:
+    """Whether a text is valid source code of a known language."""
+    return any(fault(text, lang) is None for lang in ("rust", "python", "kotlin", "json", "toml"))
+
+
 def ends_whole(text: str, closings: set[str]) -> bool:
     """Whether a text, by its own end, is complete."""
     bare = text.rstrip()
@@ -69,7 +74,7 @@ def ends_whole(text: str, closings: set[str]) -> bool:
     if STOP.search(bare):
         return True
     if looks_like_code(bare):
-        return any(fault(bare, lang) is None for lang in ("rust", "python", "kotlin", "json", "toml"))
+        return parses(bare)
     return "\n" in bare and FORMS.match(bare.rsplit("\n", 1)[-1].strip()) is not None
 
 
@@ -78,7 +83,9 @@ def stopped(text: str, closings: set[str]) -> bool:
     bare = text.rstrip()
     if OPEN_NUMBER.search(bare) or (MARK.search(bare) and last_line(bare) not in closings):
         return False
-    return STOP.search(bare) is not None
+    if not STOP.search(bare) or bare.rsplit("\n", 1)[-1].count("`") % 2:
+        return False
+    return not looks_like_code(bare) or parses(bare)
 
 
 def strict_prefixes(texts: DataFrame) -> DataFrame:

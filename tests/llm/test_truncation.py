@@ -70,6 +70,7 @@ def test_endings():
     whole = lambda t, c=(): T.ends_whole(t, set(c))
     assert whole("It ends.") and whole('He said "no."') and whole("x y\n-- the group") and whole("a\n(see below)") and whole("a.\nRefs: #12") and whole("so it goes\nGood day", ["Good day"])
     assert not whole("It en") and not whole("It goes on…") and not whole("It goes on [truncated]") and not whole("a, b and") and not whole("good day", ["good day"])
+    assert not T.stopped("see `docs.", set()) and not T.stopped("fn a() {\n    let x = b.", set())
     assert T.stopped("a b.", set()) and not T.stopped("it took 3.", set()) and not T.stopped("a b…", set())
 
 
