@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars as S
-from lodestrata.operators import answers, federation, graph, integrity, inventory, ordering, resolve, store
+from lodestrata.operators import answers, federation, graph, integrity, inventory, ordering, reports, resolve, store
 from lodestrata.operators.snapshots import plain_path
 from lodestrata.plans import views as V
 from lodestrata.plans.problems import _SQL_PATH
@@ -485,6 +485,38 @@ def declaration_conflicts(spark, d):
     return federation.declaration_conflicts(rows)
 
 
+@query(f"""WITH {V.CODE}, {_OPS}, {_CLIENTS}, h AS (SELECT title, operation_name, count(DISTINCT operation_id) AS n FROM op GROUP BY 1, 2)
+SELECT 'clients' AS family, (SELECT count(*) FROM cl) AS rows UNION ALL SELECT 'links', (SELECT count(*) FROM cl WHERE operation_id IN (SELECT operation_id FROM op)) UNION ALL SELECT 'rejections', (SELECT count(*) FROM cl WHERE operation_id NOT IN (SELECT operation_id FROM op))
+UNION ALL SELECT 'candidates', (SELECT count(*) FROM decl d JOIN h ON h.title = d.repository_identity AND h.operation_name = d.path WHERE n = 1) UNION ALL SELECT 'operations', (SELECT count(*) FROM op)""")
+def federation_summary(spark, d):
+    """The counters of the federation report."""
+    return reports.summary(_federation(spark, d))
+
+
+@query(f"""WITH {V.CODE}, {_OPS}, {_CLIENTS}, lk AS (SELECT * FROM cl WHERE operation_id IN (SELECT operation_id FROM op)), rj AS (SELECT * FROM cl WHERE operation_id NOT IN (SELECT operation_id FROM op)),
+cd AS (SELECT min(operation_id) AS operation_id FROM op JOIN decl d ON op.title = d.repository_identity AND op.operation_name = d.path GROUP BY d.id HAVING count(DISTINCT operation_id) = 1)
+SELECT 'links' AS family, operation_id AS id FROM lk WHERE operation_id NOT IN (SELECT operation_id FROM op) UNION ALL SELECT 'links', call_site_id FROM lk WHERE call_site_id NOT IN (SELECT call_site_id FROM cl)
+UNION ALL SELECT 'rejections', call_site_id FROM rj WHERE call_site_id NOT IN (SELECT call_site_id FROM cl) UNION ALL SELECT 'candidates', operation_id FROM cd WHERE operation_id NOT IN (SELECT operation_id FROM op)""")
+def federation_references(spark, d):
+    """Ids of the federation report that nothing in it resolves: none."""
+    f = _federation(spark, d)
+    return reports.unresolved(f, [("links", "operation_id", "operations", "operation_id"), ("links", "call_site_id", "clients", "call_site_id"), ("rejections", "call_site_id", "clients", "call_site_id"), ("candidates", "operation_id", "operations", "operation_id")])
+
+
+def _federation(spark, d):
+    clients, operations = materialize(_clients(spark, d), "clients"), materialize(_operations(spark, d), "operations")
+    links, rejections = federation.federate_explicit(clients, operations)
+    candidates = federate_heuristic(spark, d).where("outcome = 'heuristic_requires_confirmation'")
+    return {"clients": clients, "operations": operations, "links": links, "rejections": rejections, "candidates": candidates}
+
+
+@query("""SELECT family, count(*) AS n FROM (SELECT nullif(regexp_extract(id, '^urn:[a-z][a-z0-9-]*:([a-z-]+):(?:sha256|blake3):[0-9a-f]{64}$', 1), '') AS family FROM (SELECT id FROM evidence UNION ALL SELECT id FROM semantic_entities UNION ALL SELECT declaration_id FROM framework_diagnostics)) GROUP BY 1""")
+def id_families(spark, d):
+    """Which family each id as written names, and how many name none."""
+    ids = table(spark, d, "evidence").select("id").unionByName(table(spark, d, "semantic_entities").select("id")).unionByName(table(spark, d, "framework_diagnostics").select(F.col("declaration_id").alias("id")))
+    return ids.groupBy(reports.family_of(F.col("id")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _SPLIT = "TIMESTAMP '1995-01-01'"
 _FIELDS = f"""contract AS (SELECT '/' || p_brand AS json_pointer, bool_and(p_size > 45) AS required FROM part GROUP BY 1),
 li AS (SELECT '/' || p_brand AS json_pointer, l_shipdate < {_SPLIT} AS old, l_returnflag FROM lineitem JOIN part ON p_partkey = l_partkey),

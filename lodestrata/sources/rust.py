@@ -37,6 +37,24 @@ class Unlexable(ValueError):
     pass
 
 
+_SIMPLE = {"n": "\n", "r": "\r", "t": "\t", "0": "\0", "\\": "\\", "'": "'", '"': '"'}
+_ESCAPE = re.compile(r"\\(?:u\{([0-9a-fA-F_]{1,8})\}|x([0-9a-fA-F]{2})|\r?\n\s*|(.))", re.S)
+
+
+def decode_literal(text: str) -> str | None:
+    """The value of a quoted string or character literal; None where it is none or has an unknown escape."""
+    m = re.fullmatch(r"[bc]?r(#*)\"(.*)\"\1", text, re.S)
+    if m:
+        return m.group(2)
+    m = re.fullmatch(r"[bc]?([\"'])((?:[^\\]|\\.)*)\1", text, re.S)
+    if not m:
+        return None
+    try:
+        return _ESCAPE.sub(lambda e: chr(int(e[1].replace("_", ""), 16)) if e[1] else chr(int(e[2], 16)) if e[2] else _SIMPLE[e[3]] if e[3] else "", m.group(2))
+    except (KeyError, ValueError, OverflowError):
+        return None
+
+
 class Tok:
     __slots__ = ("kind", "text", "a", "b")
 
