@@ -56,20 +56,23 @@ def _conflict(text: str, at: int) -> bool:
     return (at == 0 or text[at - 1] == "\n") and text[at] in "<>=|" and CONFLICT.match(text, at) is not None
 
 
+#: What tells that a text may hold a conflict marker at all.
+MARKERS = ("<<<<<<<", "=======", ">>>>>>>", "|||||||")
+
 RUST_TOKEN = re.compile(
-    r"""(?P<ws>\s+)|(?P<lc>//[^\n]*)|(?P<bc>/\*)|(?P<raw>(?:b|c|br|cr|r)?r(?P<h>\#*)"|(?:r)(?P<h2>\#*)")|(?P<str>[bc]?")"""
+    r"""(?:\s|//[^\n]*+)*+(?:(?P<bc>/\*)|(?P<raw>(?:b|c|br|cr|r)?r(?P<h>\#*)"|(?:r)(?P<h2>\#*)")|(?P<str>[bc]?")"""
     r"""|(?P<chr>b?'(?:[^'\\\n]|\\(?:[nrt0\\'"]|x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\}))')|(?P<life>'[^\W\d]\w*)"""
     r"""|(?P<num>\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d[\d_]*)?\w*|\d\w*)|(?P<id>r\#[^\W\d]\w*|[^\W\d]\w*)"""
-    r"""|(?P<op><<=|>>=|\.\.\.|\.\.=|->|=>|==|!=|<=|>=|&&|\|\||\+=|-=|\*=|/=|%=|\^=|&=|\|=|::|\.\.|[-+*/%^!&|=<>@.,;:\#$?~])|(?P<open>[(\[{])|(?P<close>[)\]}])""",
+    r"""|(?P<op><<=|>>=|\.\.\.|\.\.=|->|=>|==|!=|<=|>=|&&|\|\||\+=|-=|\*=|/=|%=|\^=|&=|\|=|::|\.\.|[-+*/%^!&|=<>@.,;:\#$?~])|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<end>\Z))""",
     re.X,
 )
 RUST_NUM = re.compile(r"(?:0x[\da-fA-F_]+|0o[0-7_]+|0b[01_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:[iu](?:8|16|32|64|128|size)|f32|f64)?$")
 
 KOTLIN_TOKEN = re.compile(
-    r"""(?P<ws>\s+)|(?P<lc>//[^\n]*|\#![^\n]*)|(?P<bc>/\*)|(?P<tri>\"{3})|(?P<str>")"""
+    r"""(?:\s|//[^\n]*+|\#![^\n]*+)*+(?:(?P<bc>/\*)|(?P<tri>\"{3})|(?P<str>")"""
     r"""|(?P<chr>'(?:[^'\\\n]|\\(?:[tbrn'"\\$]|u[0-9a-fA-F]{4}))')"""
     r"""|(?P<num>\d[\d_]*\.\d[\d_]*(?:[eE][+-]?\d+)?[fF]?|\d[\d_]*[eE][+-]?\d+[fF]?|0[xX][\da-fA-F_]+[uUL]*|0[bB][01_]+[uUL]*|\d[\d_]*[uUfFL]*)(?!\w)|(?P<id>[^\W\d]\w*|`[^`\n]+`)"""
-    r"""|(?P<op>===|!==|\?\.|\?:|!!|\.\.<|\.\.|->|=>|==|!=|<=|>=|&&|\|\||\+\+|--|\+=|-=|\*=|/=|%=|::|[-+*/%!=<>@.,;:?&|])|(?P<open>[(\[{])|(?P<close>[)\]}])""",
+    r"""|(?P<op>===|!==|\?\.|\?:|!!|\.\.<|\.\.|->|=>|==|!=|<=|>=|&&|\|\||\+\+|--|\+=|-=|\*=|/=|%=|::|[-+*/%!=<>@.,;:?&|])|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<end>\Z))""",
     re.X,
 )
 
@@ -90,51 +93,56 @@ RUST_STRING = re.compile(r'(?:[^"\\]|\\.)*"', re.S)
 def rust_tree(text: str) -> list:
     """Tokens of a Rust text as a tree of delimiter groups."""
     root = Group("", 0)
-    stack, at, line = [root], 0, 0
+    stack, at = [root], 0
+    nodes = root.nodes
+    marked = any(m in text for m in MARKERS)
+    match = RUST_TOKEN.match
     if text.startswith("#!") and not re.match(r"#!\s*\[", text):
         at = text.find("\n") if "\n" in text else len(text)
-    while at < len(text):
-        if _conflict(text, at):
-            raise Invalid("merge conflict")
-        m = RUST_TOKEN.match(text, at)
+    size = len(text)
+    while at < size:
+        m = match(text, at)
         if not m:
-            raise Invalid(f"stray character {text[at]!r}")
-        kind, tok, end = m.lastgroup, m.group(), m.end()
-        start = line
-        if kind in ("h", "h2"):
+            rest = text[at:].lstrip()
+            raise Invalid("merge conflict" if marked and CONFLICT.match(rest) else f"stray character {rest[:1]!r}")
+        kind = m.lastgroup
+        if kind == "h" or kind == "h2":
             kind = "raw"
-        if kind == "bc":
-            end = _block_comment(text, at)
-        elif kind == "raw":
-            close = '"' + "#" * (tok.count("#"))
-            end = text.find(close, m.end())
-            if end < 0:
-                raise Invalid("unterminated raw string")
-            end += len(close)
-            stack[-1].nodes.append(Token("lit", "s", line))
+        at, end, tok = m.start(kind), m.end(), m.group(kind)
+        if marked and at < size and _conflict(text, at):
+            raise Invalid("merge conflict")
+        if kind == "id" or kind == "op" or kind == "life":
+            nodes.append(Token(kind, tok, at))
+        elif kind == "open":
+            stack.append(Group(tok, at))
+            nodes = stack[-1].nodes
+        elif kind == "close":
+            if len(stack) == 1 or CLOSERS[stack[-1].delim] != tok:
+                raise Invalid(f"unbalanced {tok}")
+            g = stack.pop()
+            nodes = stack[-1].nodes
+            nodes.append(g)
         elif kind == "str":
             s = RUST_STRING.match(text, m.end())
             if not s:
                 raise Invalid("unterminated string")
             end = s.end()
-            stack[-1].nodes.append(Token("lit", "s", line))
+            nodes.append(Token("lit", "s", at))
         elif kind == "chr":
-            stack[-1].nodes.append(Token("lit", "c", line))
+            nodes.append(Token("lit", "c", at))
         elif kind == "num":
             if not RUST_NUM.match(tok):
                 raise Invalid(f"bad number {tok}")
-            stack[-1].nodes.append(Token("lit", tok, line))
-        elif kind in ("id", "op", "life"):
-            stack[-1].nodes.append(Token(kind, tok, line))
-        elif kind == "open":
-            stack.append(Group(tok, line))
-        elif kind == "close":
-            if len(stack) == 1 or CLOSERS[stack[-1].delim] != tok:
-                raise Invalid(f"unbalanced {tok}")
-            g = stack.pop()
-            stack[-1].nodes.append(g)
-        # a conflict marker inside white space at a line's start is seen there; in a literal it is text
-        line = start + text.count("\n", at, end)
+            nodes.append(Token("lit", tok, at))
+        elif kind == "bc":
+            end = _block_comment(text, at)
+        elif kind == "raw":
+            close = '"' + "#" * (tok.count("#"))
+            end = text.find(close, m.end())
+            if end < 0:
+                raise Invalid("unterminated raw string")
+            end += len(close)
+            nodes.append(Token("lit", "s", at))
         at = end
     if len(stack) > 1:
         raise Invalid(f"unclosed {stack[-1].delim}")
@@ -173,13 +181,18 @@ def kotlin_tree(text: str) -> list:
                 at += 1
         raise Invalid("unterminated string")
 
+    marked = any(m in text for m in MARKERS)
     while at < len(text):
-        if _conflict(text, at):
-            raise Invalid("merge conflict")
         m = KOTLIN_TOKEN.match(text, at)
         if not m:
-            raise Invalid(f"stray character {text[at]!r}")
-        kind, tok, end = m.lastgroup, m.group(), m.end()
+            rest = text[at:].lstrip()
+            raise Invalid("merge conflict" if marked and CONFLICT.match(rest) else f"stray character {rest[:1]!r}")
+        kind = m.lastgroup
+        start, end, tok = m.start(kind), m.end(), m.group(kind)
+        line += text.count("\n", at, start)
+        at = start
+        if marked and at < len(text) and _conflict(text, at):
+            raise Invalid("merge conflict")
         if kind == "bc":
             end = _block_comment(text, at)
         elif kind in ("str", "tri"):
@@ -317,13 +330,13 @@ def rust_expression(nodes: list) -> None:
                 state = "end"
         elif n.kind == "lit":
             if state == "end":
-                raise Invalid(f"literal after an operand, line {n.line + 1}")
+                raise Invalid(f"literal after an operand, at {n.line}")
             state = "end"
         elif n.kind == "life":
             state = "any"
         elif n.kind == "id" and (n.text not in RUST_KEYWORDS or n.text in RUST_OPERAND_WORDS):
             if state == "end":
-                raise Invalid(f"name after an operand, line {n.line + 1}")
+                raise Invalid(f"name after an operand, at {n.line}")
             state = "end"
             if i + 2 < len(nodes) and is_tok(nodes[i + 1], "!") and isinstance(nodes[i + 2], Group):
                 if n.text in RUST_CALLS:
@@ -354,7 +367,7 @@ def rust_expression(nodes: list) -> None:
             if t in ("=", "=>") and state == "op" and prev is not None and not is_tok(prev, ">"):
                 raise Invalid(f"{t} after an operator")
             if t in BINARY_ONLY and state == "op":
-                raise Invalid(f"{t} without operand, line {n.line + 1}")
+                raise Invalid(f"{t} without operand, at {n.line}")
             if t == ".":
                 nxt = nodes[i + 1] if i + 1 < len(nodes) else None
                 if state == "op" or not (isinstance(nxt, Token) and (nxt.kind == "id" or nxt.kind == "lit")):
@@ -693,7 +706,7 @@ def rust_item(nodes: list, i: int) -> int:
         if not curly:
             raise Invalid("macro without ;")
         return i
-    raise Invalid(f"no item: {w}, line {nodes[i].line + 1}")
+    raise Invalid(f"no item: {w}, at {nodes[i].line}")
 
 
 def rust_field_type(p: list) -> None:
@@ -908,7 +921,7 @@ def kotlin_statement(s: list, top: bool, first: bool) -> None:
     if w in ("get", "set") and not top and i + 1 < len(s) and is_group(s[i + 1], "("):
         return
     if top:
-        raise Invalid(f"no declaration: {w or 'text'}, line {n.line + 1}")
+        raise Invalid(f"no declaration: {w or 'text'}, at {n.line}")
     kotlin_expression(s[i:])
 
 
@@ -977,9 +990,9 @@ def kotlin_expression(s: list) -> None:
             if state == "end":
                 run += 1
                 if n.kind == "lit" and (isinstance(prev, Token) and prev.kind == "lit"):
-                    raise Invalid(f"literal after a literal, line {n.line + 1}")
+                    raise Invalid(f"literal after a literal, at {n.line}")
                 if run % 2 == 0 and n.kind == "lit":
-                    raise Invalid(f"literal after an operand, line {n.line + 1}")
+                    raise Invalid(f"literal after an operand, at {n.line}")
             else:
                 run = 1
             state = "end"
@@ -1003,13 +1016,13 @@ def kotlin_expression(s: list) -> None:
         else:
             t = n.text
             if t in ("*", "/", "%", "=", "==", "!=", "===", "!==", "<=", ">=", "&&", "||", "?:", "+=", "-=", "*=", "/=", "%=", ".", "?.", ",", "..") and state == "op" and not (t == "*" and is_tok(prev, "<", ",")):
-                raise Invalid(f"{t} without operand, line {n.line + 1}")
+                raise Invalid(f"{t} without operand, at {n.line}")
             if run % 2 == 0 and run:
-                raise Invalid(f"operands without operator, line {n.line + 1}")
+                raise Invalid(f"operands without operator, at {n.line}")
             run = 0
             state = {"++": "any", "--": "any", "!!": "end", "?": "any", ">": "any", "*": "any"}.get(t, "op")
     if run and run % 2 == 0:
-        raise Invalid(f"operands without operator, line {s[-1].line + 1}")
+        raise Invalid(f"operands without operator, at {s[-1].line}")
     if state == "op":
         raise Invalid("expression ends early")
 
