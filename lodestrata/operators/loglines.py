@@ -1,18 +1,19 @@
 """Log lines of unlike programs into entries with time, level, component and message.
 
 The layouts are learned, not listed. A line is lexed into typed tokens (time stamps by their shape, levels,
-numbers, keys before `=`, words, single marks). Distributed counts of token bigrams and trigrams, anchored
-at the line's start, separate what is constant in a layout (its marks and keys) from what varies. Heads
-of lines that consist of supported n-grams and hold a time stamp are the candidate templates; a candidate's
-support decides how far the head reaches. The slots of a template then take their field roles by type: the
-stamp is the time, a level token the level, the last word slot before the message the component.
-
-Both dictionaries are bounded: an entry needs a share of at least 1/SHARE of the lines, and a line gives at
-most HEAD_TOKENS of them, so there are never more than SHARE * HEAD_TOKENS.
+numbers, keys before `=`, words, single marks). Masked heads are counted over all lines; heads that hold a time
+stamp are the candidate templates, and a candidate's support decides how far the head reaches. The slots of a
+template then take their field roles by type: the stamp is the time, a level token the level, the last word slot
+before the message the component.
+
+A candidate needs MIN_SUPPORT lines, however many lines there are. Candidates are counted in Spark, each by a
+digest of its own and its parent's, and those that no growth can reach are dropped there; the rest, the heads
+that may be headers, come to the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections import Counter
@@ -25,8 +26,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.runtime import materialize, release
 
-#: An n-gram or template is frequent from this share of the lines (1/SHARE), and at least MIN_SUPPORT lines.
-SHARE = 5_000
+#: A head or an object's key is learned from so many lines, whatever their share.
 MIN_SUPPORT = 3
 #: Tokens of a line's head that are looked at; a header of a program is shorter.
 HEAD_TOKENS = 20
@@ -197,18 +197,11 @@ def sequence(line: str) -> tuple[list[str], list[tuple]]:
         return [], []
     obj = lex_object(line)
     if obj:
-        return ["^", "{", *(f"{k}\x1d{t}" for k, t, _ in obj)], obj
+        return ["^", "{}", *(f"{k}\x1d{t}" for k, t, _ in obj)], obj
     tokens = lex(line)
     return ["^", *(m for m, _ in tokens)], tokens
 
 
-def ngrams(seq: list[str]) -> list[str]:
-    """Bigrams and trigrams of a head, the first ones anchored at the line's start; of an object those of its keys."""
-    if seq[1:2] == ["{"]:
-        seq = [m.split("\x1d")[0] for m in seq]
-    return ["\x1e".join(seq[i : i + n]) for n in (2, 3) for i in range(len(seq) - n + 1)]
-
-
 def _is_time(mask: str) -> bool:
     return mask.startswith("<TIME")
 
@@ -217,34 +210,56 @@ def _is_level(mask: str) -> bool:
     return mask.startswith("<LEVEL")
 
 
-def heads(seq: list[str], frequent: set[str]) -> list[str]:
-    """Candidate templates of a head, shortest first: heads made of frequent n-grams, with a time stamp.
+def _digest(parent: str, tail: str) -> str:
+    return hashlib.md5(f"{parent}\x1f{tail}".encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _keyed(masks: list[str]) -> bool:
+    return any(m[-1:] == "=" and len(m) > 1 for m in masks)
+
+
+def heads(seq: list[str]) -> Iterator[tuple[str, str, str, bool]]:
+    """Candidate templates of a plain head, shortest first: (digest, its parent's, the tail from there, open).
 
     A head ends after its stamp and after every mark or key that follows, at the latest at an opening
-    quote. An object has one head, its frequent keys, followed by one entry for the type of each value.
+    quote, and before words that no header has (``_grows``). Open: it may grow whatever its share is.
     """
-    if seq[1:2] == ["{"]:
-        pairs = [m.split("\x1d") for m in seq[2:]]
-        keys = ["{", *(k for k, _ in pairs)]
-        pairs = [p for i, p in enumerate(pairs) if f"{keys[i]}\x1e{p[0]}" in frequent]
-        if not any(t == "TIME" for _, t in pairs):
-            return []
-        head = "{" + "\x1f".join(k for k, _ in pairs)
-        return [head, *(f"{head}\x1d{k}\x1d{t}" for k, t in pairs)]
-    out, stamped = [], False
+    stamped, words, level, keyed, parent, start = False, False, False, False, "", 1
     for i, m in enumerate(seq[1:], 1):
-        if "\x1e".join(seq[i - 1 : i + 1]) not in frequent or (i > 1 and "\x1e".join(seq[i - 2 : i + 1]) not in frequent):
-            break
         if _is_time(m):
             if stamped or any(x in ("<W>", " ") for x in seq[1:i]):  # words before the stamp: no header
-                break
+                return
             stamped = True
-            out.append("\x1f".join(seq[1 : i + 1]))
-        elif stamped and not (m in (" ", "<W>", "<N>") or _is_level(m)):
-            out.append("\x1f".join(seq[1 : i + 1]))
+        elif m == '"' and not stamped:
+            return
+        elif not stamped or m in (" ", "<W>", "<N>") or _is_level(m):
+            continue
+        tail = seq[start : i + 1]
+        key = keyed and tail[-1][-1:] == "="
+        if words and level and not key and "<W>" in tail:
+            return
+        before = next((j for j, x in enumerate(tail) if _is_level(x)), len(tail))
+        free = not parent or key or (not level and not _keyed(tail[:before]) and not any(x in ("<W>", "<N>") for x in tail[:before]))
+        own = _digest(parent, "\x1f".join(tail))
+        yield own, parent, "\x1f".join(tail), free
         if m == '"':
-            break
-    return out
+            return
+        words, level, keyed = words or "<W>" in tail, level or before < len(tail), keyed or _keyed(tail)
+        parent, start = own, i + 1
+
+
+def is_object(seq: list[str]) -> bool:
+    return seq[1:2] == ["{}"]
+
+
+def object_heads(path: list[str]) -> Iterator[tuple[str, str, str, bool]]:
+    """Candidate templates of an object, as of :func:`heads`: its known keys, times first, then the commonest."""
+    parent = "{}"
+    if path and path[0].endswith("\x1dTIME"):
+        for member in path:
+            own = _digest(parent, member)
+            yield own, parent, member, True
+            parent = own
 
 
 def _grows(tail: list[str], head: list[str], n: int, of: int, lookahead: list[list[str]]) -> bool:
@@ -268,46 +283,45 @@ def _grows(tail: list[str], head: list[str], n: int, of: int, lookahead: list[li
     return brings_level(tail) or any(brings_level(tail + more) for more in lookahead)
 
 
-#: Lines with a head, as a share, that need not go on as the longer heads do, for it to be a header itself.
+#: A longer head or a further key of so few lines of a head is an option of its layout: it changes no field's slot.
 REST = 0.02
 
 
-def choose_templates(support: dict[str, int], least: int) -> dict[str, dict[str, object]]:
-    """The heads that are headers of programs, with their field roles, from the support of all candidates.
+def choose_templates(support: dict[str, tuple[str, str, int]], least: int) -> dict[str, dict[str, object]]:
+    """The plain heads that are headers of programs, with their field roles, from (parent, tail, lines) of each.
 
     From a layout's bare stamp on, heads grow by what most of its lines have, by keys, and by a level in
     marks. A head is a header where enough of its lines go no further (REST) or nothing longer grows from it.
     """
     out: dict[str, dict[str, object]] = {}
-    by_stamp: dict[str, list[str]] = {}
-    for t in support:
-        if "\x1d" in t:
-            continue
-        if t.startswith("{"):
-            out[t] = _object_roles(t, support)
-            continue
-        seq = t.split("\x1f")
-        cut = next(i for i, m in enumerate(seq) if _is_time(m))
-        by_stamp.setdefault("\x1f".join(seq[: cut + 1]), []).append(t)
-    for root, family in by_stamp.items():
-        if root not in support:
-            continue
-        frontier = [root]
-        while frontier:
-            at = frontier.pop()
-            head = at.split("\x1f")
-            longer = [t for t in family if t.startswith(at + "\x1f")]
-            nearest = [t for t in longer if not any(u != t and t.startswith(u + "\x1f") for u in longer)]
-            grown = 0
-            for t in nearest:
-                seq = t.split("\x1f")
-                more = [u.split("\x1f")[len(seq) :] for u in longer if u.startswith(t + "\x1f")]
-                if _grows(seq[len(head) :], head, support[t], support[at], more):
-                    frontier.append(t)
-                    grown += support[t]
-            rest = support[at] - grown
-            if rest >= max(least, REST * support[at]) and _complete(head):
-                out[at] = _roles(head)
+    children: dict[str, list[str]] = {}
+    for own, (parent, _, _) in support.items():
+        children.setdefault(parent, []).append(own)
+
+    def tails(own: str) -> list[list[str]]:
+        """What may follow a head up to a level: nothing goes on behind words, numbers or keys."""
+        found, todo = [], [(c, []) for c in children.get(own, ())]
+        while todo:
+            at, before = todo.pop()
+            more = before + support[at][1].split("\x1f")
+            found.append(more)
+            if not any(_is_level(m) or m in ("<W>", "<N>") for m in more) and not _keyed(more):
+                todo += [(c, more) for c in children.get(at, ())]
+        return found
+
+    frontier = [(own, support[own][1].split("\x1f"), None) for own in children.get("", ())]
+    while frontier:
+        at, head, kept = frontier.pop()
+        of, grown = support[at][2], 0
+        for t in children.get(at, ()):
+            tail, n = support[t][1].split("\x1f"), support[t][2]
+            if _grows(tail, head, n, of, tails(t)):
+                words = [i for i, m in enumerate(head) if m == "<W>"]
+                rare = tail[-1][-1:] == "=" and words and n < REST * of
+                frontier.append((t, head + tail, words[-1] if rare and kept is None else kept))
+                grown += n
+        if of - grown >= max(least, REST * of) and _complete(head):
+            out[at] = _roles(head) | ({} if kept is None else {"component": kept})
     return out
 
 
@@ -334,40 +348,79 @@ def _roles(seq: list[str]) -> dict[str, object]:
     }
 
 
-def _object_roles(template: str, support: dict[str, int]) -> dict[str, object]:
-    """Roles of an object's keys by the type most of their values have."""
-    kind = {}
-    for k in template[1:].split("\x1f"):
-        kinds = {t: support.get(f"{template}\x1d{k}\x1d{t}", 0) for t in ("TIME", "LEVEL", "TEXT", "W", "N", "OTHER")}
-        kind[k] = max(kinds, key=kinds.get)
-    named = {t: [k for k in kind if kind[k] == t] for t in set(kind.values())}
-    first = {t: ks[0] for t, ks in named.items()}
-    return {"time": first.get("TIME"), "level": first.get("LEVEL"), "component": named["W"][-1] if "W" in named else None, "message": first.get("TEXT") or first.get("OTHER")}
+def object_templates(support: dict[str, tuple[str, str, int]], kinds: dict[str, dict[str, Counter]]) -> dict[str, dict[str, object]]:
+    """Roles of the objects' keys by the type most of their values have, from (parent, key, lines) of each head.
+
+    Of two keys of a type the one that its layout always has goes before an optional one: a key of few of the
+    shorter head's lines (REST), or of no more than have the shorter head alone.
+    """
+    out = {}
+    alone = Counter({own: n for own, (_, _, n) in support.items()})
+    for parent, _, n in support.values():
+        alone[parent] -= n
+    for own in kinds:
+        path, at = [], own
+        while at != "{}":
+            parent, member, n = support[at]
+            path.append((member.split("\x1d")[0], parent != "{}" and n <= max(alone[parent], REST * support[parent][2])))
+            at = parent
+        path.reverse()
+        option = next((i for i, (_, rare) in enumerate(path) if rare), len(path))
+        named: dict[str, list[str]] = {}
+        component = None
+        for part in (path[:option], path[option:]):
+            for k in sorted(k for k, _ in part):
+                named.setdefault(max(sorted(kinds[own][k]), key=kinds[own][k].get), []).append(k)
+            component = component or (named["W"][-1] if "W" in named else None)
+        first = {t: ks[0] for t, ks in named.items()}
+        out[own] = {"time": first.get("TIME"), "level": first.get("LEVEL"), "component": component, "message": first.get("TEXT") or first.get("OTHER")}
+    return out
+
+
+def _members(seq: list[str]) -> dict[str, str]:
+    """An object's members as its heads hold them (times told apart), with the value's type."""
+    pairs = [m.split("\x1d") for m in seq[2:]]
+    return {f"{k}\x1d{'TIME' if t == 'TIME' else ''}": t for k, t in pairs}
+
 
+def object_head(seq: list[str], children: dict[str, list[str]]) -> str | None:
+    """The longest head of an object among the learned ones, keys it has besides left out."""
+    members, at = _members(seq), "{}"
+    while (step := next((c for c in children.get(at, ()) if c[0] in members), None)) is not None:
+        at = step[1]
+    return None if at == "{}" else at
 
+
+#: The templates with their roles, and the objects' heads: the next members of each, with the longer head's digest.
+Learned = tuple[dict[str, dict[str, object]], dict[str, list[tuple[str, str]]]]
 #: Head shapes whose template a worker remembers; the memory is dropped when it is full.
 KEPT_SHAPES = 100_000
 
 
-def template_of(seq: list[str], frequent: set[str], templates: dict[str, dict[str, object]], memory: dict[str, str | None]) -> str | None:
+def template_of(seq: list[str], learned: Learned, memory: dict[str, str | None]) -> str | None:
     """The longest template a head has."""
     key = "\x1c".join(seq)
     if key not in memory:
         if len(memory) > KEPT_SHAPES:
             memory.clear()
-        memory[key] = next((t for t in reversed(heads(seq, frequent)) if t in templates), None)
+        if is_object(seq):
+            memory[key] = object_head(seq, learned[1])
+        else:
+            memory[key] = next((t for t, *_ in reversed(list(heads(seq))) if t in learned[0]), None)
     return memory[key]
 
 
-def read_header(text: str | None, frequent: set[str], templates: dict[str, dict[str, object]], not_after: datetime | None, memory: dict[str, str | None] | None = None) -> tuple[datetime, str, str, str] | None:
+def read_header(text: str | None, learned: Learned, not_after: datetime | None, memory: dict[str, str | None] | None = None) -> tuple[datetime, str, str, str] | None:
     """(time, level, component, message) of a line that begins with a header; None of any other line."""
     line = clean_line(text)
     seq, tokens = sequence(line)
-    t = template_of(seq, frequent, templates, {} if memory is None else memory) if seq else None
+    t = template_of(seq, learned, {} if memory is None else memory) if seq else None
     if t is None:
         return None
-    r = templates[t]
-    if t.startswith("{"):
+    r = learned[0].get(t)
+    if r is None:
+        return None
+    if is_object(seq):
         value = {k: v for k, _, v in tokens}
         part = {f: value.get(r[f], "") if r[f] else "" for f in ("time", "level", "component", "message")}
     else:
@@ -395,32 +448,84 @@ def _shapes(lines: DataFrame) -> DataFrame:
     return lines.select("text").mapInArrow(run, "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
-def _counts(shapes: DataFrame, each, least: int) -> dict[str, int]:
-    """Keys that ``each`` gives of heads of at least ``least`` lines; counted per batch, then summed; few come back."""
+def _count(shapes: DataFrame, each, schema: str) -> DataFrame:
+    """The rows of strings that ``each`` gives of a head, with the lines that have them: per batch, then summed."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n: Counter = Counter()
-            for k, lines in zip(b.column("k").to_pylist(), b.column("n").to_pylist()):
-                for x in set(each(k.split("\x1c"))):
+            for k, lines in zip(b.column(0).to_pylist(), b.column("n").to_pylist()):
+                for x in each(k):
                     n[x] += lines
-            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["k", "n"])
+            cols = [pa.array([x[i] for x in n]) if n else pa.array([], pa.bool_() if schema.split(", ")[i].endswith("boolean") else pa.string()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n.values(), pa.int64())], names=[*names, "n"])
+
+    return shapes.mapInArrow(run, f"{schema}, n long").groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+HEAD = "own string, parent string, tail string, free boolean"
+
 
-    rows = shapes.mapInArrow(run, "k string, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return {r["k"]: r["n"] for r in rows.toLocalIterator()}
+def _supported(rows: DataFrame, least: int) -> dict[str, tuple[str, str, int]]:
+    return {r["own"]: (r["parent"], r["tail"], r["n"]) for r in rows.where(F.col("n") >= least).select("own", "parent", "tail", "n").toLocalIterator()}
 
 
-def learn(lines: DataFrame) -> tuple[set[str], dict[str, dict[str, object]]]:
-    """The frequent n-grams and the headers' templates with their roles, from all lines (column text).
+def learn(lines: DataFrame) -> Learned:
+    """The headers' templates with their roles, and the objects' heads, from all lines (column text).
 
-    Lines are lexed once, into the counts of their masked heads; both dictionaries are counted on those.
+    Lines are lexed once, into the counts of their masked heads; all else is counted on those.
     """
-    least = max(MIN_SUPPORT, lines.count() // SHARE)
+    least = MIN_SUPPORT
     shapes = materialize(_shapes(lines), "shapes")
-    frequent = set(_counts(shapes, ngrams, least))
-    support = _counts(shapes, lambda seq: heads(seq, frequent), least)
-    release(shapes)
-    return frequent, choose_templates(support, least)
+    of_objects = F.col("k").startswith("^\x1c{}\x1c")
+    counted = materialize(_count(shapes.where(~of_objects), lambda k: heads(k.split("\x1c")), HEAD).where(F.col("n") >= least), "heads")
+    above = counted.select(F.col("own").alias("parent"), F.col("n").alias("of"))
+    reached = counted.join(above, "parent", "left").where(F.col("free") | (F.col("n") >= EXTEND * F.col("of")))
+    templates = choose_templates(_supported(reached, least), least)
+
+    objects = shapes.where(of_objects)
+    members = materialize(objects.mapInArrow(_explode, "k string, n long, member string"), "members")
+    known = members.groupBy("member").agg(F.sum("n").alias("of")).where(F.col("of") >= least)
+    paths = members.join(known, "member").groupBy("k").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct((~F.col("member").endswith("\x1dTIME")).alias("late"), (-F.col("of")).alias("of"), "member"))).alias("m"))
+    paths = paths.select(F.array_join(F.col("m.member"), "\x1c").alias("path"), "n")
+    support = _supported(_count(paths, lambda k: object_heads(k.split("\x1c")), HEAD), least)
+    order = {r["member"]: r["of"] for r in known.join(paths.sparkSession.createDataFrame([(m,) for m in {t for _, t, _ in support.values()}], "member string"), "member").toLocalIterator()} if support else {}
+    children: dict[str, list[tuple[str, str]]] = {}
+    for own, (parent, member, _) in support.items():
+        children.setdefault(parent, []).append((member, own))
+    for of in children.values():
+        of.sort(key=lambda c: (not c[0].endswith("\x1dTIME"), -order[c[0]], c[0]))
+
+    def typed(k: str) -> Iterator[tuple[str, str, str]]:
+        seq = k.split("\x1c")
+        at = object_head(seq, children)
+        if at is not None:
+            for member, kind in _members(seq).items():
+                yield at, member.split("\x1d")[0], kind
+
+    kinds: dict[str, dict[str, Counter]] = {}
+    if support:
+        path_keys = {}
+        for own in support:
+            at, keys = own, set()
+            while at != "{}":
+                keys.add(support[at][1].split("\x1d")[0])
+                at = support[at][0]
+            path_keys[own] = keys
+        rows = _count(objects, lambda k: (x for x in typed(k) if x[1] in path_keys[x[0]]), "own string, key string, kind string")
+        for r in rows.toLocalIterator():
+            kinds.setdefault(r["own"], {}).setdefault(r["key"], Counter())[r["kind"]] += r["n"]
+    for t in (shapes, counted, members):
+        release(t)
+    return templates | object_templates(support, kinds), children
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each member of each object's head."""
+    for b in batches:
+        rows = [(k, n, m) for k, n in zip(b.column("k").to_pylist(), b.column("n").to_pylist()) for m in _members(k.split("\x1c"))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["k", "n", "member"])
 
 
 def split_lines(texts: DataFrame, source: str, text: str, not_after: str) -> DataFrame:
@@ -430,18 +535,18 @@ def split_lines(texts: DataFrame, source: str, text: str, not_after: str) -> Dat
     )
 
 
-def find_headers(lines: DataFrame, learned: tuple[set[str], dict[str, dict[str, object]]]) -> DataFrame:
+def find_headers(lines: DataFrame, learned: Learned) -> DataFrame:
     """The lines that begin with a header: source, line_no, entry_ts, entry_level, component, message."""
     known = lines.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, templates = known.value
+        learned = known.value
         memory: dict[str, str | None] = {}
         for b in batches:
             pick, out = [], []
             times = b.column("not_after").to_pylist()
             for i, text in enumerate(b.column("text").to_pylist()):
-                h = read_header(text, frequent, templates, times[i] and times[i].replace(tzinfo=None), memory)
+                h = read_header(text, learned, times[i] and times[i].replace(tzinfo=None), memory)
                 if h:
                     pick.append(i)
                     out.append(h)

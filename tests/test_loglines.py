@@ -76,3 +76,18 @@ def test_times_without_year_or_zone():
 def test_split_lines(spark):
     t = spark.createDataFrame([("a", "x\r\ny\nz", AT), ("b", None, AT), ("c", "", AT)], "source string, t string, at timestamp")
     assert sorted((r["source"], r["line_no"], r["text"]) for r in L.split_lines(t, "source", "t", "at").collect()) == [("a", 1, "x"), ("a", 2, "y"), ("a", 3, "z"), ("c", 1, "")]
+
+
+def test_a_rare_program_is_found_among_many_lines(spark):
+    many = spark.range(45_000).selectExpr("'big' AS source", "CAST(id + 1 AS INT) AS line_no", "concat('2025-02-03T11:00:00.123456Z  WARN a::b: went on ', id) AS text", "timestamp'2025-03-01' AS not_after")
+    object_line = '{"timestamp":"2025-02-03T11:00:00Z","level":"info","target":"x.y",%s"fields":{"message":"done"}}'
+    few = [f"2025-02-03 11:00:0{i},123 [worker-{i}] ERROR store.walker - gone" for i in range(5)]
+    few += [object_line % ""] * 20 + [object_line % '"zone":"eu",'] * 5 + [object_line % f'"only{i}":"once",' for i in range(3)]
+    rare = spark.createDataFrame([("rare", i + 1, x, AT) for i, x in enumerate(few)], "source string, line_no int, text string, not_after timestamp")
+    got = L.entries(many.unionByName(rare)).where("source = 'rare'").orderBy("first_line").collect()
+    assert [(r["first_line"], r["last_line"]) for r in got] == [(i, i) for i in range(1, 34)]
+    assert [(r["entry_level"], r["component"]) for r in got] == [("ERROR", "store.walker")] * 5 + [("INFO", "x.y")] * 28
+
+
+def test_a_line_with_a_brace_that_is_no_object(spark):
+    assert run(spark, [("s", i, "{ 10:00:00 }", AT) for i in range(1, 6)]).count() == 0
