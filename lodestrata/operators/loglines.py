@@ -291,7 +291,8 @@ def choose_templates(support: dict[str, tuple[str, str, int]], least: int) -> di
     """The plain heads that are headers of programs, with their field roles, from (parent, tail, lines) of each.
 
     From a layout's bare stamp on, heads grow by what most of its lines have, by keys, and by a level in
-    marks. A head is a header where enough of its lines go no further (REST) or nothing longer grows from it.
+    marks. A complete head is a header where ``least`` of its lines go no further. Where these are few (REST), its
+    component is a word that is one in the longer head too: what stands before the level may be a thread.
     """
     out: dict[str, dict[str, object]] = {}
     children: dict[str, list[str]] = {}
@@ -312,7 +313,7 @@ def choose_templates(support: dict[str, tuple[str, str, int]], least: int) -> di
     frontier = [(own, support[own][1].split("\x1f"), None) for own in children.get("", ())]
     while frontier:
         at, head, kept = frontier.pop()
-        of, grown = support[at][2], 0
+        of, grown, next_words = support[at][2], 0, {}
         for t in children.get(at, ()):
             tail, n = support[t][1].split("\x1f"), support[t][2]
             if _grows(tail, head, n, of, tails(t)):
@@ -320,8 +321,10 @@ def choose_templates(support: dict[str, tuple[str, str, int]], least: int) -> di
                 rare = tail[-1][-1:] == "=" and words and n < REST * of
                 frontier.append((t, head + tail, words[-1] if rare and kept is None else kept))
                 grown += n
-        if of - grown >= max(least, REST * of) and _complete(head):
-            out[at] = _roles(head) | ({} if kept is None else {"component": kept})
+                next_words["<W>" in tail] = next_words.get("<W>" in tail, 0) + n
+        if of - grown >= least and _complete(head):
+            short = of - grown < REST * of and next_words.get(True, 0) > next_words.get(False, 0)
+            out[at] = _roles(head) | ({"component": None} if short else {} if kept is None else {"component": kept})
     return out
 
 

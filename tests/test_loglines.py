@@ -91,3 +91,9 @@ def test_a_rare_program_is_found_among_many_lines(spark):
 
 def test_a_line_with_a_brace_that_is_no_object(spark):
     assert run(spark, [("s", i, "{ 10:00:00 }", AT) for i in range(1, 6)]).count() == 0
+
+
+def test_few_lines_that_stop_at_a_shorter_header(spark):
+    lines = [f"Feb  3 10:00:{i % 60:02d} host-1 prog-one[{i}]: " + ("nothing of note" if i % 100 == 7 else "<warning> low space") for i in range(500)]
+    got = run(spark, [("s", i + 1, x, AT) for i, x in enumerate(lines)]).orderBy("first_line").collect()
+    assert [(r["first_line"], r["entry_level"], r["component"]) for r in got] == [(i + 1, "" if i % 100 == 7 else "WARN", "prog-one") for i in range(500)]
