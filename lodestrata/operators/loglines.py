@@ -28,7 +28,7 @@ from lodestrata.runtime import materialize, release
 
 #: A head or an object's key is learned from so many lines, whatever their share.
 MIN_SUPPORT = 3
-#: Tokens of a line's head that are looked at; a header of a program is shorter.
+#: A head goes on until so many of its tokens bring no bracket and no key; its first ones are looked at in any case.
 HEAD_TOKENS = 20
 #: A longer head is taken over a shorter one of the same layout from this share of its lines.
 EXTEND = 0.6
@@ -104,9 +104,18 @@ def clean_line(text: str | None) -> str:
     return ANSI.sub("", text or "").rstrip("\r")
 
 
+BRACKETS = {"[": 1, "(": 1, "<": 1, "{": 1, "]": -1, ")": -1, ">": -1, "}": -1}
+
+
 def lex(line: str) -> list[tuple[str, str]]:
-    """Typed tokens (mask, text) of a line's head."""
+    """Typed tokens (mask, text) of a line's head; none where no stamp can begin a header.
+
+    A head ends at an opening quote, at a second stamp, at a word behind time, level and component, or, from
+    HEAD_TOKENS on, in prose (three words in a row) and where so many tokens bring no bracket and no key.
+    """
     out: list[tuple[str, str]] = []
+    stamped = words = level = keyed = closed = False
+    depth = run = since = 0
     for m in TOKEN.finditer(line):
         kind, text = m.lastgroup, m.group()
         if kind == "iso":
@@ -136,10 +145,29 @@ def lex(line: str) -> list[tuple[str, str]]:
             mask = " "
         else:
             mask = text
+        if not stamped and mask in (" ", "<W>", '"'):
+            return []
+        if (stamped and _is_time(mask)) or (closed and mask == "<W>"):
+            break
         out.append((mask, text))
-        if len(out) >= HEAD_TOKENS:
+        if mask == '"':
             break
-    return out
+        if mask == "<W>":
+            words, run = True, run + (depth == 0)
+        elif _is_level(mask) or kind == "short":
+            level, run = True, 0
+        elif mask not in (" ", "<N>"):
+            run, keyed = 0, keyed or kind == "key"
+        if _is_time(mask):
+            stamped = True
+        if mask not in (" ", "<W>", "<N>") and not _is_level(mask):
+            closed = stamped and words and level and not keyed
+        since += 1
+        if kind == "key" or mask in BRACKETS:
+            depth, since = max(0, depth + BRACKETS.get(mask, 0)), 0
+        if len(out) >= HEAD_TOKENS and (run >= 3 or since >= HEAD_TOKENS):
+            break
+    return out if stamped else []
 
 
 _MEMBER = re.compile(r'\s*[{,]\s*"((?:[^"\\]|\\.)*)"\s*:\s*("(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|\{|\[)')
@@ -180,8 +208,8 @@ def lex_object(line: str) -> list[tuple[str, str, str]] | None:
             kind, v = ("TIME" if 1e8 <= v < 1e11 else "N"), repr(v)
         else:
             kind, v = "OTHER", next((x for x in v.values() if isinstance(x, str)), "") if isinstance(v, dict) else json.dumps(v)
-        out.append((k, kind, v))
-    return sorted(out)[:HEAD_TOKENS] or None
+        out.append((k if k.isprintable() else json.dumps(k), kind, v))
+    return sorted(out) or None
 
 
 #: What any stamp holds; a line without it has no header and need not be lexed.
@@ -199,6 +227,8 @@ def sequence(line: str) -> tuple[list[str], list[tuple]]:
     if obj:
         return ["^", "{}", *(f"{k}\x1d{t}" for k, t, _ in obj)], obj
     tokens = lex(line)
+    if not tokens:
+        return [], []
     return ["^", *(m for m, _ in tokens)], tokens
 
 

@@ -97,3 +97,11 @@ def test_few_lines_that_stop_at_a_shorter_header(spark):
     lines = [f"Feb  3 10:00:{i % 60:02d} host-1 prog-one[{i}]: " + ("nothing of note" if i % 100 == 7 else "<warning> low space") for i in range(500)]
     got = run(spark, [("s", i + 1, x, AT) for i, x in enumerate(lines)]).orderBy("first_line").collect()
     assert [(r["first_line"], r["entry_level"], r["component"]) for r in got] == [(i + 1, "" if i % 100 == 7 else "WARN", "prog-one") for i in range(500)]
+
+
+def test_wide_objects_and_headers(spark):
+    members = ",".join(f'"a{k:02d}":{k}' for k in range(25))
+    lines = [f'{{{members},"level":"error","target":"x.y","time":"2025-02-03T11:00:0{i}Z","what":"it broke"}}' for i in range(5)]
+    lines += [f"2025-02-03 11:00:0{i},123 [pool-{i}] [a:{i}] [b:{i}] [c:{i}] [d:{i}] [e:{i}] [f:{i}] ERROR store.walker - gone" for i in range(5)]
+    got = run(spark, [("s", i + 1, x, AT) for i, x in enumerate(lines)]).orderBy("first_line").collect()
+    assert [(r["first_line"], r["entry_level"], r["component"]) for r in got] == [(i, "ERROR", "x.y" if i < 6 else "store.walker") for i in range(1, 11)]
