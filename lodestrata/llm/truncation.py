@@ -67,8 +67,10 @@ def parses(text: str) -> bool:
 def ends_whole(text: str, closings: set[str]) -> bool:
     """Whether a text, by its own end, is complete."""
     bare = text.rstrip()
-    if last_line(bare) in closings and "\n" in bare:
-        return True
+    closing = last_line(bare)
+    if closing in closings and "\n" in bare:
+        # a lone delimiter closes many excerpts of code, but only what it is part of tells whether that is whole
+        return parses(bare) if looks_like_code(bare) and not re.search(r"\w", closing) else True
     if MARK.search(bare):
         return False
     if STOP.search(bare):

@@ -79,3 +79,10 @@ def test_nothing(spark):
     assert T.judge_texts(df, ["doc_id"], "text", "source").count() == 0
     df = spark.createDataFrame([(1, None, None), (2, " ", "s")], "doc_id long, text string, source string")
     assert [r["cut"] for r in T.judge_texts(df, ["doc_id"], "text", "source").collect()] == [False, False]
+
+
+def test_a_common_delimiter_does_not_close_open_code():
+    common = {"}", ")", "*/", "Good day"}
+    assert not T.ends_whole("fn a() {\n    if b {\n        c();\n    }", common)
+    assert not T.ends_whole("def f(x):\n    return g(\n        h(\n            x\n        )", common)
+    assert T.ends_whole("fn a() {\n    if b {\n        c();\n    }\n}", common) and T.ends_whole("so it goes\nGood day", common)
