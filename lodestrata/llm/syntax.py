@@ -263,9 +263,45 @@ def split(nodes: list, *seps: str, angles: bool = False) -> list[list]:
     return parts
 
 
-def rust_parts(nodes: list, what: str, angles: bool = False) -> list[list]:
-    """The parts between commas; only the last may be empty."""
-    parts = split(nodes, ",", angles=angles)
+def rust_angles(nodes: list, i: int) -> int:
+    """The index after the generic arguments that begin at ``i``; ``i`` itself where ``<`` there is a comparison.
+
+    In an expression they begin behind ``::``, behind the type of a cast, and where an operand must come.
+    """
+    if not is_tok(nodes[i], "<"):
+        return i
+    prev = nodes[i - 1] if i else None
+    opens = prev is None or is_tok(prev, "::") or (isinstance(prev, Token) and (prev.text not in (">", "?") if prev.kind == "op" else prev.text in RUST_KEYWORDS and prev.text not in RUST_OPERAND_WORDS))
+    if not opens and isinstance(prev, Token) and prev.kind == "id":
+        k = i - 1
+        while k >= 2 and is_tok(nodes[k - 1], "::"):
+            k -= 2
+        opens = k >= 1 and is_tok(nodes[k - 1], "as")
+    if not opens:
+        return i
+    depth = 0
+    for k in range(i, len(nodes)):
+        if is_tok(nodes[k], "<", ">"):
+            depth += 1 if nodes[k].text == "<" else -1
+            if not depth:
+                return k + 1
+    return i
+
+
+def rust_commas(nodes: list) -> list[list]:
+    """The parts of expressions between commas; those between generic arguments separate nothing."""
+    parts, start, i = [], 0, 0
+    while i < len(nodes):
+        if is_tok(nodes[i], ","):
+            parts.append(nodes[start:i])
+            start = i + 1
+        i = max(rust_angles(nodes, i), i + 1)
+    return [*parts, nodes[start:]]
+
+
+def rust_parts(nodes: list, what: str, angles: bool | None = False) -> list[list]:
+    """The parts between commas; only the last may be empty. ``angles``: of types; None: of expressions."""
+    parts = rust_commas(nodes) if angles is None else split(nodes, ",", angles=angles)
     if not parts[-1]:
         parts.pop()
     if any(not p for p in parts):
@@ -315,7 +351,7 @@ def rust_expression(nodes: list) -> None:
                 if arms:
                     rust_arms(n.nodes)
                     arms = False
-                elif isinstance(prev, Token) and prev.kind == "id" and prev.text not in RUST_KEYWORDS and state == "end" and not _control(nodes[:i]):
+                elif isinstance(prev, Token) and prev.kind == "id" and (prev.text not in RUST_KEYWORDS or prev.text == "Self") and state == "end" and not _control(nodes[:i]):
                     rust_fields(n.nodes)
                 else:
                     rust_block(n.nodes)
@@ -404,15 +440,15 @@ def _control(before: list) -> bool:
             return False
         if is_tok(n, "if", "while", "for", "match", "in"):
             return True
-        if is_tok(n, "->"):
+        if is_tok(n, "->", "let"):
             return True
-        if is_tok(n, "=", ";", ",", "=>", "return"):
+        if is_tok(n, ";", ",", "=>", "return"):
             return False
     return False
 
 
 def rust_fields(nodes: list) -> None:
-    for p in rust_parts(nodes, "field"):
+    for p in rust_parts(nodes, "field", angles=None):
         p = p[rust_attributes(p, 0) :]
         if is_tok(p[0], ".."):
             continue
@@ -444,7 +480,7 @@ def rust_arms(nodes: list) -> None:
             continue
         start = i
         while i < len(nodes) and not is_tok(nodes[i], ","):
-            i += 1
+            i = max(rust_angles(nodes, i), i + 1)
         rust_expression(nodes[start:i])
         i += 1
 
@@ -457,9 +493,11 @@ def _rust_control(nodes: list, i: int) -> int:
     else:
         i += 1
         start = i
-        while i < len(nodes) and not is_group(nodes[i], "{"):
+        inner = 0  # blocks of a match or unsafe that the head itself holds
+        while i < len(nodes) and (inner or not is_group(nodes[i], "{")):
             if is_tok(nodes[i], ";"):
                 raise Invalid(f"{w} without block")
+            inner += is_tok(nodes[i], "match", "unsafe") - is_group(nodes[i], "{")
             i += 1
         head = nodes[start:i]
         if w == "for":
@@ -813,6 +851,8 @@ def _joined(a, b, nodes: list, start: int, i: int) -> bool:
     """Whether the statement goes on over a line's end between ``a`` and ``b``."""
     if isinstance(b, Token) and (b.text in KOTLIN_JOIN_NEXT or (b.text in ("else", "catch", "finally", "while") and is_group(a, "{"))):
         return True
+    if is_tok(b, "else") and any(is_tok(x, "if") for x in nodes[start:i]):
+        return True
     if isinstance(a, Group):
         head = nodes[start]
         # if (...) <newline> statement, and a header whose body follows
@@ -844,6 +884,8 @@ def kotlin_statement(s: list, top: bool, first: bool) -> None:
         return
     while i < len(s) and isinstance(s[i], Token) and s[i].text in KOTLIN_MODIFIERS and s[i].text != "fun" and i + 1 < len(s) and isinstance(s[i + 1], Token) and s[i + 1].kind == "id":
         i += 1
+    if is_tok(s[i], "fun") and i + 1 < len(s) and is_tok(s[i + 1], "interface"):
+        i += 1
     n = s[i]
     w = n.text if isinstance(n, Token) and n.kind == "id" else ""
     if w in ("package", "import"):
@@ -869,7 +911,7 @@ def kotlin_statement(s: list, top: bool, first: bool) -> None:
                 if k + 1 != len(s):
                     raise Invalid("text after a body")
                 kotlin_statements(x.nodes)
-            elif is_tok(x, ":"):
+            elif is_tok(x, ":", "where"):
                 seen = True
             elif not seen and not (isinstance(x, Token) and x.text in ("private", "internal", "protected", "public", "constructor", "@", "where")):
                 raise Invalid(f"{w} with a bad header")
@@ -899,6 +941,10 @@ def kotlin_statement(s: list, top: bool, first: bool) -> None:
         return
     if w in ("val", "var"):
         k = rust_generics(s, i + 1)
+        own = next((j for j in range(k + 1, len(s)) if is_tok(s[j], "get", "set") and j + 1 < len(s) and is_group(s[j + 1], "(") and not is_tok(s[j - 1], ".", "?.", "::", "=", ":", "by")), len(s))
+        if own < len(s):
+            kotlin_accessor(s[own:])
+            s = s[:own]
         eq = next((j for j in range(k, len(s)) if is_tok(s[j], "=", "by")), len(s))
         left = s[k:eq]
         if not left:
@@ -918,13 +964,27 @@ def kotlin_statement(s: list, top: bool, first: bool) -> None:
             if is_group(x, "{"):
                 kotlin_statements(x.nodes)
         return
-    if w in ("get", "set") and not top and i + 1 < len(s) and is_group(s[i + 1], "("):
+    if w in ("get", "set") and i + 1 < len(s) and is_group(s[i + 1], "("):
+        kotlin_accessor(s[i:])
+        return
+    if w in ("get", "set") and i + 1 == len(s):
         return
     if top:
         raise Invalid(f"no declaration: {w or 'text'}, at {n.line}")
     kotlin_expression(s[i:])
 
 
+def kotlin_accessor(s: list) -> None:
+    """get() or set(value) of a property, with its body."""
+    body = next((j for j, x in enumerate(s) if is_group(x, "{") or is_tok(x, "=")), None)
+    if body is None:
+        raise Invalid("accessor without body")
+    if is_tok(s[body], "="):
+        kotlin_expression(s[body + 1 :])
+    else:
+        kotlin_statements(s[body].nodes)
+
+
 def kotlin_path(s: list, what: str) -> None:
     want = True
     for i, n in enumerate(s):
@@ -970,11 +1030,25 @@ def kotlin_expression(s: list) -> None:
     if not s:
         raise Invalid("expression missing")
     state, run = "op", 0  # run: operands in a row without an operator between
+    skip = 0
     for i, n in enumerate(s):
+        if i < skip:
+            continue
         prev = s[i - 1] if i else None
+        if isinstance(n, Token) and n.kind == "id" and i + 1 < len(s) and is_tok(s[i + 1], "@"):
+            after = s[i + 2] if i + 2 < len(s) else None
+            if n.text in ("return", "break", "continue", "this", "super"):
+                if not isinstance(after, Token) or after.kind != "id":
+                    raise Invalid("label missing")
+                state, run, skip = ("any" if n.text == "return" else "end"), (0 if n.text == "return" else 1), i + 3
+                continue
+            if n.text not in KOTLIN_HARD and (is_group(after, "{") or is_tok(after, "for", "while", "do", "when", "if")):
+                skip = i + 2
+                continue
         if isinstance(n, Group):
             if n.delim == "{":
-                kotlin_lambda(n.nodes)
+                of_when = is_tok(prev, "when") or (is_group(prev, "(") and i > 1 and is_tok(s[i - 2], "when"))
+                (kotlin_branches if of_when else kotlin_lambda)(n.nodes)
                 state, run = "any", 1
             else:
                 if n.delim == "(" and is_tok(prev, "catch"):
@@ -996,6 +1070,8 @@ def kotlin_expression(s: list) -> None:
             else:
                 run = 1
             state = "end"
+        elif n.kind == "id" and n.text == "class" and is_tok(prev, "::"):
+            state, run = "end", 1
         elif n.kind == "id":
             w = n.text
             if w in ("as", "in", "is"):
@@ -1015,7 +1091,7 @@ def kotlin_expression(s: list) -> None:
             run = 0
         else:
             t = n.text
-            if t in ("*", "/", "%", "=", "==", "!=", "===", "!==", "<=", ">=", "&&", "||", "?:", "+=", "-=", "*=", "/=", "%=", ".", "?.", ",", "..") and state == "op" and not (t == "*" and is_tok(prev, "<", ",")):
+            if t in ("*", "/", "%", "=", "==", "!=", "===", "!==", "<=", ">=", "&&", "||", "?:", "+=", "-=", "*=", "/=", "%=", ".", "?.", ",", "..") and state == "op" and not (t == "*" and (prev is None or is_tok(prev, "<", ",", "="))):
                 raise Invalid(f"{t} without operand, at {n.line}")
             if run % 2 == 0 and run:
                 raise Invalid(f"operands without operator, at {n.line}")
@@ -1028,16 +1104,64 @@ def kotlin_expression(s: list) -> None:
 
 
 def kotlin_lambda(nodes: list) -> None:
-    """A block, a lambda or the branches of a when."""
-    if any(is_tok(x, "->") for x in nodes):
-        for part in split(nodes, "->"):
-            for x in part:
-                if is_group(x, "{"):
-                    kotlin_lambda(x.nodes)
-        return
+    """A block, or a lambda: parameters up to an arrow, if it has any, then statements."""
+    at = 0
+    for k, n in enumerate(nodes):
+        if is_tok(n, "->"):
+            # behind a parameter's type in brackets the arrow is the type's own: { f: (Int) -> Int -> ... }
+            part = split(nodes[at:k], ",")[-1]
+            if not (len(part) > 2 and is_tok(part[1], ":") and is_group(part[-1], "(") and is_group(nodes[k - 1], "(")):
+                kotlin_statements(nodes[k + 1 :])
+                return
+        elif not (is_group(n, "(") or (isinstance(n, Token) and ((n.kind == "id" and n.text not in KOTLIN_HARD - {"in"}) or n.text in (",", ":", "<", ">", ".", "?", "*")))):
+            break
     kotlin_statements(nodes)
 
 
+def kotlin_branches(nodes: list) -> None:
+    """Branches of a when: conditions between commas, an arrow, and one statement or block each."""
+    i = 0
+    while i < len(nodes):
+        if is_tok(nodes[i], ";"):
+            i += 1
+            continue
+        start = i
+        while i < len(nodes) and not is_tok(nodes[i], "->"):
+            i += 1
+        if i >= len(nodes):
+            raise Invalid("branch without ->")
+        for p in rust_parts(nodes[start:i], "condition", angles=None):
+            if is_tok(p[0], "else"):
+                p = p[2:] if is_tok(p[1] if len(p) > 1 else None, "if") else p[1:]
+                if p:
+                    kotlin_expression(p)
+                continue
+            guard = next((k for k, x in enumerate(p) if k and is_tok(x, "if") and not is_tok(p[k - 1], "else")), len(p))
+            kotlin_expression(p[:guard])
+            if guard < len(p):
+                kotlin_expression(p[guard + 1 :])
+        i += 1
+        if i >= len(nodes):
+            raise Invalid("branch without statement")
+        if start == i - 1:
+            raise Invalid("branch without condition")
+        start = i
+        i += 1
+        while i < len(nodes) and not is_tok(nodes[i], ";"):
+            a, b = nodes[i - 1], nodes[i]
+            last = is_tok(b, "else") and is_tok(nodes[i + 1] if i + 1 < len(nodes) else None, "->")
+            if _last_line(a) != b.line and (last or not _joined(a, b, nodes, start, i)):
+                break
+            # a block or a finished statement may be followed by the next branch on its line
+            if last or (i == start + 1 and is_group(nodes[start], "{") and not (isinstance(b, Token) and b.text in KOTLIN_JOIN_NEXT)):
+                break
+            i += 1
+        if is_group(nodes[start], "{") and i == start + 1:
+            kotlin_lambda(nodes[start].nodes)
+        else:
+            kotlin_statement(nodes[start:i], False, False)
+
+
 # ---------------------------------------------------------------- the other languages
 
 PY_TOKEN = re.compile(r"""(?P<ws>[ \t\f]+|\\\r?\n)|(?P<nl>\r?\n|\r)|(?P<c>\#[^\r\n]*)|(?P<str>(?i:[rbuft]|br|rb|fr|rf|tr|rt)?(?P<q>\"{3}|'{3}|"|'))|(?P<w>\w+)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<o>.)""", re.X)

@@ -1,5 +1,7 @@
 import ast
 import json
+import os
+import pathlib
 import tomllib
 
 import pytest
@@ -88,6 +90,104 @@ def test_valid_texts(lang, text):
     assert S.fault(text, lang) is None
 
 
+VALID_RUST = [
+    'fn a() -> Self { Self { a, } }',
+    'fn a() -> Self { Self { a: 1, } }',
+    'fn a() { let x = B { a: c.collect::<Result<_, _>>()?, }; }',
+    'fn a() { let x = Foo { a: x < y, b: z > w, }; }',
+    'fn a() { match x { A => c.collect::<HashMap<_, _>>(), B => d, } }',
+    'fn a() { let v = if let Some(x) = self.path { x } else { y }; }',
+    'fn a() { if match x { A => true, _ => false } { b } }',
+    'fn a() { let x = <T as Tr<A, B>>::f(1, 2); let z = a as Map<K, V>; }',
+]
+VALID_KOTLIN = [
+    'fun interface F { fun x() }',
+    'fun a() { run label@{ 1 } }',
+    'fun a() { outer@ for (i in 1..2) { break@outer } }',
+    'fun a(x: Int): Int { return when (x) { 1, 2 -> 3\n in 3..4 -> { 5 }\n is Int -> 6\n !in a -> 7\n else -> if (x > 1) 2\n else 3 } }',
+    'val f: (Int) -> Int = { x: Int -> x + 1 }',
+    'val g = { a, (b, c) -> a + b }',
+    'fun a() { x.let { it -> y(it) }\n z.map { (k, v) -> k to v } }',
+    'val x by lazy { 1 }',
+    'fun a() = listOf(1).forEach { f: (Int) -> Int -> f(1) }',
+    'class A<out T : Any>(val x: T) where T : B { constructor() : this(1) { x() } }',
+    'fun a() { val x = object : B(1), C { override fun y() {} } }',
+    'fun a() { return@foo 1 }',
+    'fun a() { if (x) y else z\n val q = if (a) b\n else c }',
+    'inline fun <reified T> a(crossinline b: () -> T): T = b()',
+    'fun a() { x?.y?.z ?: return\n a!!.b()\n val (c, d) = e }',
+    'annotation class A\n@A @B(1) class C',
+    'enum class E { A { override fun f() = 1 }, B; abstract fun f(): Int }',
+    'val x: Int get() = 1\nvar y = 1\n private set',
+    'fun a() { when { x > 1 -> y()\n else -> z() } }',
+    'fun a() { do { x() } while (y) }',
+    'typealias X = Map<String, Int>',
+    'fun A.b(c: D.() -> Unit = {}) = apply { c() }',
+    'fun a() { x[1] = 2; x += 3; i++\n --j }',
+    'fun a() { val s = "a${if (b) "c" else "d"}" }',
+    'fun a() { try { b() } catch (e: E) { } finally { } }',
+    'fun a() { a shl 2 or 3; x in y; x !is Z; x as? W }',
+    'object A : B by c',
+    'interface X { val a: Int; fun b() = 1 }',
+    'fun a() { foo(::bar, A::class.java, *args, b = 1) }',
+    'val x = fun(a: Int): Int { return a }',
+    'fun a() { listOf(1)\n .map { it }\n // c\n .filter { true } }',
+    'fun a() { val x = when (val y = z()) { is A -> y.b\n "q" -> { }\n null -> throw E("x") } }',
+    'class A { init { x() }\n companion object { val y = 1 } }',
+    'fun a() { if (x) { 1 } else if (y) { 2 } else { 3 } }',
+    'fun a() { x = { 1 }() }',
+    'fun <T> a() where T : B, T : C { }',
+    'fun a() { throw X("y") }',
+    'fun a() { while (x) y() }',
+    'suspend fun a() = coroutineScope { launch { b() } }',
+    'fun a() { return this@A.x }',
+    'class A { var x: Int = 1\n get() = field\n set(value) { field = value } }',
+    'fun a() { when (x) { 1 -> { } 2 -> { } else -> { } } }',
+    'fun a() { when (x) { A.B -> return 1; else -> { } } }',
+    'fun a() = when (x) { is A -> b\n  .c()\n else -> d }',
+    'fun a() { x.map { val f: (Int) -> Int = g\n f(it) } }',
+    'fun a() { buildList { if (a) { b } } }',
+    'fun a() { when (x) { 1 -> if (y) 2 else 3\n else -> 4 } }',
+    'fun a() { when (x) { 1 ->\n foo()\n else ->\n bar() } }',
+    'fun a() { f(*a, b = *c) }',
+    'fun a() { try { } catch (_: E) { } }',
+    'fun a() { x.forEach inner@{ if (it) return@inner } }',
+    'fun a() { val r = a < b && c > d }',
+    'fun a() { x ?: error("y") }',
+    'fun a() { val a: List<Map<K, V?>>? = null }',
+    'fun a() { when (x) { in 1..2, !in b -> c\n is A, is B -> d\n else -> Unit } }',
+    'fun a() { when (x) { is A if y > 1 -> 2\n else -> 3 } }',
+    'fun a(vararg x: Int, b: (A, B) -> Unit) {}',
+    'fun a() { val x = a as List<B> }',
+    '@Test fun `a b c`() { }',
+    'data object A',
+    'value class A(val x: Int)',
+    'fun a() { for ((k, v) in m) { } ; for (i in 10 downTo 1 step 2) x() }',
+]
+
+
+@pytest.mark.parametrize("lang,text", [("rust", t) for t in VALID_RUST] + [("kotlin", t) for t in VALID_KOTLIN])
+def test_valid_forms(lang, text):
+    assert S.fault(text, lang) is None
+
+
+@pytest.mark.parametrize("text", [
+    "fun a() { when (x) { 1 -> } }", "fun a() { when (x) { 1 2 -> 3 } }", "fun a() { x.map { a -> b c } }", "fun a() { if (x) { y -> 1 + } }", "fun a() { when (x) { 1 -> a\n b } }",
+    "fun a() { when (x) { -> 1 } }", "fun a() { when (x) { 1, -> } }", "class A { val x: Int get() }", "fun a() { return@ }",
+])
+def test_faults_in_branches_lambdas_and_accessors(text):
+    assert S.fault(text, "kotlin")
+
+
+def test_a_folder_of_valid_sources_has_no_finding():
+    """VALID_SOURCES names a folder whose Rust and Kotlin files are known to compile; they are read as text."""
+    folder = os.environ.get("VALID_SOURCES")
+    if not folder:
+        pytest.skip("VALID_SOURCES is not set")
+    found = {str(p): S.fault(p.read_text(), S.EXTENSIONS[p.suffix[1:]]) for p in pathlib.Path(folder).rglob("*") if p.suffix in (".rs", ".kt") and p.is_file()}
+    assert found and not {p: f for p, f in found.items() if f}
+
+
 CONFLICT = "<<<<<<< ours\n{a}\n=======\n{b}\n>>>>>>> theirs\n"
 
 
