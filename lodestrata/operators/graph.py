@@ -12,8 +12,16 @@ from pyspark.sql import functions as F
 from lodestrata.operators.skew import hot_keys, skew_join
 from lodestrata.runtime import materialize
 
-#: Rounds of a fixpoint; semi-naive closure needs as many as the longest path has edges.
-MAX_ROUNDS = 1_000
+#: Rounds of a fixpoint that doubles its reach: more than any table needs. Running out of them is an error.
+MAX_ROUNDS = 62
+#: Levels of the flow graph of one callable that reaching definitions may go through.
+MAX_LEVELS = 10_000
+#: Single steps of the evidence closure before it doubles: most chains of evidence are this short.
+SINGLE_STEPS = 4
+
+
+class Unfinished(RuntimeError):
+    """A fixpoint used up its rounds: its result would be incomplete, so there is none."""
 
 
 def incident(edges: DataFrame, seeds: DataFrame, kinds: list[str] | None = None) -> DataFrame:
@@ -64,13 +72,14 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
     Semi-naive with doubling: a pair whose shortest path is longer than 2^k starts with one of exactly 2^k
     edges, which the last round found, so each round joins only the last round's pairs with all pairs and the
     rounds are the logarithm of the longest shortest path. New pairs are written to the shared folder. Null
-    ends are no edges; repeated edges count once.
+    ends are no edges; repeated edges count once. Rounds that run out are an error, never a cut result.
     """
     found = materialize(edges.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct(), "edges")
-    delta, new = found, found.count()
-    for _ in range(MAX_ROUNDS):
-        if not new:
-            break
+    delta, new, rounds = found, found.count(), 0
+    while new:
+        rounds += 1
+        if rounds > MAX_ROUNDS:
+            raise Unfinished(f"closure: {new} new pairs after {MAX_ROUNDS} rounds")
         step = found.select(F.col("source").alias("mid"), F.col("target").alias("next"))
         hot = hot_keys(delta, F.col("target"), new)
         longer = skew_join(delta.withColumnRenamed("target", "mid"), step, "mid", "inner", hot, F.col("source")).select("source", F.col("next").alias("target")).distinct()
@@ -106,16 +115,36 @@ def degrees(edges: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def evidence_closure(start: DataFrame, refs: DataFrame) -> DataFrame:
-    """Ids reached from ``start`` (id) over ``refs`` (id, evidence_id), the start included: id."""
+    """Ids reached from ``start`` (id) over ``refs`` (id, evidence_id), the start included: id.
+
+    The first SINGLE_STEPS steps follow the references one by one. What is left is doubled: with all ids of
+    less than n steps and the pairs of exactly n steps at hand, one join gives all ids of less than 2n. A round
+    without a new id ends it, since every distance has one. Null ends are no references.
+    """
+    refs = materialize(refs.where("id IS NOT NULL AND evidence_id IS NOT NULL").select("id", "evidence_id").distinct(), "refs")
     found = materialize(start.where("id IS NOT NULL").select("id").distinct(), "ev")
     front = found
-    for _ in range(MAX_ROUNDS):
-        new = front.join(refs, "id").select(F.col("evidence_id").alias("id")).where("id IS NOT NULL").distinct().join(found, "id", "left_anti")
+    for _ in range(SINGLE_STEPS):
+        new = front.join(refs, "id").select(F.col("evidence_id").alias("id")).distinct().join(found, "id", "left_anti")
         front = materialize(new, "ev")
         if not front.head(1):
             return found
         found = found.unionByName(front)
-    return found
+    # beyond: from the last step's ids, over references to ids not yet found
+    found = materialize(found, "ev")
+    open_refs = refs.join(found.withColumnRenamed("id", "evidence_id"), "evidence_id", "left_anti").join(
+        found.join(front, "id", "left_anti"), "id", "left_anti"
+    )
+    jump = materialize(open_refs.select("id", "evidence_id"), "jump")
+    for _ in range(MAX_ROUNDS):
+        reached = front.join(jump, "id").select(F.col("evidence_id").alias("id")).distinct().join(front, "id", "left_anti")
+        new = materialize(reached, "ev")
+        if not new.head(1):
+            return found
+        front, found = front.unionByName(new), found.unionByName(new)
+        twice = jump.withColumnRenamed("evidence_id", "mid").join(jump.withColumnRenamed("id", "mid"), "mid").select("id", "evidence_id").distinct()
+        jump = materialize(twice, "jump")
+    raise Unfinished(f"evidence closure: new ids after {MAX_ROUNDS} rounds")
 
 
 def reaching_definitions(ops: DataFrame, flow: DataFrame) -> DataFrame:
@@ -124,7 +153,8 @@ def reaching_definitions(ops: DataFrame, flow: DataFrame) -> DataFrame:
     ``ops``: callable, block (long), ordinal, op_id, binding, kind (write, read). ``flow``: callable, source, target
     blocks, acyclic in block order. A binding's definitions at a block's start are the union of its
     predecessors' (may), and those on every one of them (must). A read of a binding without definition gives
-    no row. Levels of the flow graph are solved one after another over all callables together.
+    no row. Levels of the flow graph are solved one after another over all callables together; a cycle in it,
+    or more than MAX_LEVELS of them, is an error.
     """
     w = Window.partitionBy("callable", "block", "binding").orderBy("ordinal", "op_id")
     local = ops.select("callable", "block", "ordinal", "op_id", "binding", "kind", F.last(F.when(F.col("kind") == "write", F.col("op_id")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("local_def"))
@@ -143,9 +173,11 @@ def reaching_definitions(ops: DataFrame, flow: DataFrame) -> DataFrame:
     state = None
     arrived = None
     done = None
-    for _ in range(MAX_ROUNDS):
-        if not level.head(1):
-            break
+    levels = 0
+    while level.head(1):
+        levels += 1
+        if levels > MAX_LEVELS:
+            raise Unfinished(f"reaching definitions: blocks left after {MAX_LEVELS} levels")
         if state is None:
             into = gen.select("callable", "block", "binding", none.alias("may"), none.alias("must")).limit(0)
         else:
@@ -165,6 +197,11 @@ def reaching_definitions(ops: DataFrame, flow: DataFrame) -> DataFrame:
         done = level if done is None else done.unionByName(level)
         ready = edges.join(done.withColumnRenamed("block", "source"), ["callable", "source"], "left_semi").groupBy("callable", F.col("target").alias("block")).agg(F.count(F.lit(1)).alias("have"))
         level = materialize(ready.join(preds, ["callable", "block"]).where("have = preds").select("callable", "block").join(done, ["callable", "block"], "left_anti"), "level")
+    left = blocks if done is None else blocks.join(done, ["callable", "block"], "left_anti")
+    if left.head(1):
+        raise Unfinished("reaching definitions: the flow has a cycle")
+    if arrived is None:  # no blocks at all
+        return inside
     reach = open_reads.join(arrived, ["callable", "block", "binding"])
     outside = reach.select("callable", "read_id", F.explode("may").alias("definition_id"), "must").select(
         "callable", "read_id", "definition_id", F.when(F.array_contains("must", F.col("definition_id")), "must").otherwise("may").alias("mode")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.operators import answers, federation, graph, integrity, inventory, ordering, resolve
@@ -51,6 +52,31 @@ def test_evidence_closure(spark):
     assert rows(graph.evidence_closure(spark.createDataFrame([("a",), (None,)], "id string"), refs), "id") == [("a",), ("b",), ("c",)]
 
 
+def test_evidence_closure_of_a_long_chain(spark):
+    refs = spark.range(5_000).selectExpr("concat('n', id) AS id", "concat('n', id + 1) AS evidence_id").unionByName(spark.createDataFrame([("n4000", "n3"), ("n7", "side"), ("lost", "n9")], "id string, evidence_id string"))
+    got = graph.evidence_closure(spark.createDataFrame([("n0",)], "id string"), refs)
+    assert {r["id"] for r in got.collect()} == {f"n{i}" for i in range(5_001)} | {"side"}
+
+
+def test_fixpoints_that_run_out_of_rounds_raise(spark, monkeypatch):
+    chain = edges(spark, [(f"n{i}", f"n{i + 1}") for i in range(40)])
+    monkeypatch.setattr(graph, "MAX_ROUNDS", 2)
+    with pytest.raises(graph.Unfinished):
+        graph.transitive_closure(chain)
+    with pytest.raises(graph.Unfinished):
+        graph.evidence_closure(spark.createDataFrame([("n0",)], "id string"), chain.select(F.col("source").alias("id"), F.col("target").alias("evidence_id")))
+    monkeypatch.setattr(graph, "MAX_LEVELS", 2)
+    ops = spark.createDataFrame([("f", 0, 0, "w", "x", "write"), ("f", 3, 0, "r", "x", "read")], OPS)
+    flow = "callable string, source long, target long"
+    with pytest.raises(graph.Unfinished):
+        graph.reaching_definitions(ops, spark.createDataFrame([("f", i, i + 1) for i in range(3)], flow))
+    monkeypatch.undo()
+    with pytest.raises(graph.Unfinished):
+        graph.reaching_definitions(ops, spark.createDataFrame([("f", 0, 3), ("f", 3, 4), ("f", 4, 3)], flow))
+    assert graph.reaching_definitions(ops.limit(0), spark.createDataFrame([], flow)).count() == 0
+
+
+OPS = "callable string, block long, ordinal long, op_id string, binding string, kind string"
 SPAN = "id string, path string, start long, end long"
 
 
