@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -15,8 +16,8 @@ def brute(text, items):
     out = []
     for i, t in items:
         w = L.words(t or "")
-        four = grams(w, 4)
-        if grams(w, 12) & grams(doc, 12) or (four and 2 * len(four & grams(doc, 4)) >= len(four)):
+        four = grams(w, min(4, len(w))) if w else set()
+        if grams(w, 12) & grams(doc, 12) or (four and 2 * len(four & grams(doc, min(4, len(w)))) >= len(four)):
             out.append(i)
     return sorted(out)
 
@@ -32,7 +33,7 @@ def test_forms_of_leaks():
     p = L.Patterns(items)
     assert p.leaks("pre " + " ".join(w[5:17]).upper() + " post") == [1] and p.leaks(" ".join(w[5:16])) == []
     assert p.leaks(", ".join(w[:6]) + " zz " + ". ".join(w[10:27])) == brute(", ".join(w[:6]) + " zz " + ". ".join(w[10:27]), items)
-    assert p.leaks("a b c") == [] and p.leaks("x y z q x y") == [3] and p.leaks("p q r s") == [6] and p.leaks("") == []
+    assert p.leaks("a b c") == [2] and p.leaks("a b d c") == [] and p.leaks("x y z q x y") == [3] and p.leaks("p q r s") == [6] and p.leaks("") == []
 
 
 @settings(max_examples=300, deadline=None)
@@ -46,7 +47,7 @@ def test_against_brute_force(seed):
     assert L.Patterns(items).leaks(doc) == brute(doc, items)
 
 
-def test_on_spark(spark, monkeypatch):
+def test_on_spark(spark):
     r = random.Random(5)
     voc = [f"v{i}" for i in range(30)]
     items = [(i, " ".join(r.choice(voc) for _ in range(r.randint(3, 30)))) for i in range(12)] + [(99, None)]
@@ -54,9 +55,32 @@ def test_on_spark(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
     it = spark.createDataFrame(items, "item_id long, text string")
     want = {(d, i) for d, t, _ in docs for i in brute(t, items)}
-    for per_pass in (20_000, 5):
-        monkeypatch.setattr(L, "ITEMS_PER_PASS", per_pass)
-        got = [(r["doc_id"], r["item_id"]) for r in L.find_leaks(df, it, "doc_id", "text", "item_id", "text").collect()]
+    for table_bytes in (L.TABLE_BYTES, 0):
+        got = [(r["doc_id"], r["item_id"]) for r in L.find_leaks(df, it, "doc_id", "text", "item_id", "text", table_bytes).collect()]
         assert set(got) == want and len(got) == len(want)
+        assert L.find_leaks(df.limit(0), it, "doc_id", "text", "item_id", "text", table_bytes).count() == 0
     assert L.find_leaks(df.limit(0), it, "doc_id", "text", "item_id", "text").count() == 0
     assert L.find_leaks(df, it.limit(0), "doc_id", "text", "item_id", "text").count() == 0
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    items = [(1, "alpha beta gamma"), (2, "東京で新しい計測器を試した。"), (3, "solo"), (4, "ภาษาไทยไม่มีช่องว่าง"), (5, " ... "), (6, "two words")]
+    texts = ["we saw Alpha, beta gamma here", "alpha gamma beta", "昨日、東京で新しい計測器を試したそうだ", "東京は新しい", "SOLO", "soloist", "เขาว่าภาษาไทยไม่มีช่องว่างนะ", "two (words)", "two other words", ""]
+    want = {(d, i) for d, t in enumerate(texts) for i in brute(t, items)}
+    assert want == {(0, 1), (2, 2), (4, 3), (6, 4), (7, 6)}
+    df, it = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for table_bytes in (L.TABLE_BYTES, 0):
+        assert {tuple(r) for r in L.find_leaks(df, it, "doc_id", "text", "item_id", "text", table_bytes).collect()} == want
+    assert L.words("abc東京x1・カナー") == ["abc", "東", "京", "x1", "カ", "ナ", "ー"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_spread_patterns_agree_with_tables(spark, seed):
+    r = random.Random(seed)
+    voc = "abcde"
+    text = lambda n: " ".join(r.choice(voc) for _ in range(r.randint(0, n)))
+    items = [(i, text(40)) for i in range(30)]
+    texts = [(d, " ".join([text(20), r.choice(items)[1], text(9)])) for d in range(60)]
+    df, it = spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(d, i) for d, t in texts for i in brute(t, items)}
+    assert want and {tuple(r) for r in L.find_leaks(df, it, "doc_id", "text", "item_id", "text", 0).collect()} == want
