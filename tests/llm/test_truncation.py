@@ -1,5 +1,8 @@
 import random
 
+import xxhash
+from pyspark.sql import functions as F
+
 from lodestrata.llm import truncation as T
 
 NOUNS = "gap graph scope ledger packet anchor cursor matrix token branch record module".split()
@@ -66,12 +69,61 @@ def test_strict_prefixes_over_partitions(spark, monkeypatch):
     assert got == {i for i, t in enumerate(texts) if any(u != t and u.startswith(t) for u in texts)}
 
 
-def test_endings():
-    whole = lambda t, c=(): T.ends_whole(t, set(c))
-    assert whole("It ends.") and whole('He said "no."') and whole("x y\n-- the group") and whole("a\n(see below)") and whole("a.\nRefs: #12") and whole("so it goes\nGood day", ["Good day"])
-    assert not whole("It en") and not whole("It goes on…") and not whole("It goes on [truncated]") and not whole("a, b and") and not whole("good day", ["good day"])
-    assert not T.stopped("see `docs.", set()) and not T.stopped("fn a() {\n    let x = b.", set())
-    assert T.stopped("a b.", set()) and not T.stopped("it took 3.", set()) and not T.stopped("a b…", set())
+def test_longer_copies_of_short_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(T, "PREFIX", 4)
+    r = random.Random(2)
+    texts = ["".join(r.choice("abé") for _ in range(r.randint(1, 40))) for _ in range(30)]
+    texts += [t[: r.randint(1, len(t))] + r.choice(["", "…", " [truncated]"]) for t in texts * 3]
+    bare = {T.without_mark(t) for t in texts}
+    df = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(texts)], "key binary, text string")
+    got = {x["bare"] for x in T.with_longer_copy(df, None).collect()}
+    assert got == {xxhash.xxh3_128_digest(b.encode()) for b in bare if b and any(o != b and o.startswith(b) for o in bare)}
+
+
+def judged(spark, text, closings=(), open_kind=False):
+    """(whole, stopped) of one text."""
+    m = T.measure(text)
+    df = spark.createDataFrame([m], T.MEASURES)
+    known = [T.measure(f"x\n{c}")[4] for c in closings]
+    closes = F.col("closing").isin(known) if known else F.lit(False)
+    return tuple(df.select(T.whole_column(closes, F.lit(open_kind)), T.stopped_column(closes)).first())
+
+
+def test_endings(spark):
+    whole = lambda t, *c: judged(spark, t, c)[0]
+    stopped = lambda t: judged(spark, t)[1]
+    assert whole("It ends.") and whole('He said "no."') and whole("x y\n-- the group") and whole("a\n(see below)") and whole("a.\nRefs: #12") and whole("so it goes\nGood day", "Good day")
+    assert not whole("So it was. It en") and not whole("It goes on…") and not whole("It goes on [truncated]") and not whole("x. a, b and")
+    assert not stopped("see `docs.") and not stopped("fn a() {\n    let x = b.") and stopped("a b.") and not stopped("it took 3.") and not stopped("a b…")
+    # what is no sentence needs no stop: a title, an item of an open list, an address
+    assert whole("Fix race in the cache loader") and whole("To buy:\n- milk\n- bread") and whole("It is done. See https://example.org/a/b")
+    assert not whole("Why:\n- It is late.\n- It en") and not whole("It is so.\n## Conse") and not whole("We saw it. Then the rest of it went")
+    # an ending like most of its source's has no need of a stop either, a heading has
+    assert judged(spark, "One day\nreply: ok then", (), True)[0] and not judged(spark, "One day\n## Then", (), True)[0] and not judged(spark, "One day\nreply: ok…", (), True)[0]
+
+
+def test_endings_are_held_against_the_sources_own(spark):
+    r = random.Random(4)
+    rows = [(body(r), "stops") for _ in range(300)] + [("Fix race in the cache loader", "stops"), ("Shopping\n- milk\n- bread", "stops"), (body(r) + " See https://example.org/x", "stops")]
+    rows += [(body(r).rstrip("."), "open") for _ in range(40)] + [(body(r)[:-4], "stops")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, source string")
+    assert [x["doc_id"] for x in T.judge_texts(df, ["doc_id"], "text", "source").where("cut").collect()] == [len(rows) - 1]
+
+
+def test_a_limit_need_not_be_the_greatest_length(spark):
+    r = random.Random(6)
+    rows = [((body(r, 12) + " " + body(r, 9))[:400] if i % 2 else body(r), "s") for i in range(200)] + [(body(r, 40), "s")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, source string")
+    got = {x["doc_id"] for x in T.judge_texts(df, ["doc_id"], "text", "source").where("at_limit").collect()}
+    assert got >= {i for i in range(1, 200, 2)} and 200 not in got
+
+
+def test_tables_beyond_the_broadcast_limit(spark, monkeypatch):
+    rows, cut = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    small = {tuple(r) for r in T.judge_texts(df, ["doc_id"], "text", "source").collect()}
+    monkeypatch.setattr(T, "BROADCAST_LIMIT_BYTES", -1)
+    assert {tuple(r) for r in T.judge_texts(df, ["doc_id"], "text", "source").collect()} == small and len(small) == len(rows)
 
 
 def test_nothing(spark):
@@ -81,8 +133,8 @@ def test_nothing(spark):
     assert [r["cut"] for r in T.judge_texts(df, ["doc_id"], "text", "source").collect()] == [False, False]
 
 
-def test_a_common_delimiter_does_not_close_open_code():
-    common = {"}", ")", "*/", "Good day"}
-    assert not T.ends_whole("fn a() {\n    if b {\n        c();\n    }", common)
-    assert not T.ends_whole("def f(x):\n    return g(\n        h(\n            x\n        )", common)
-    assert T.ends_whole("fn a() {\n    if b {\n        c();\n    }\n}", common) and T.ends_whole("so it goes\nGood day", common)
+def test_a_common_delimiter_does_not_close_open_code(spark):
+    whole = lambda t: judged(spark, t, ["}", ")", "*/", "Good day"])[0]
+    assert not whole("fn a() {\n    if b {\n        c();\n    }")
+    assert not whole("def f(x):\n    return g(\n        h(\n            x\n        )")
+    assert whole("fn a() {\n    if b {\n        c();\n    }\n}") and whole("so it goes\nGood day")
