@@ -104,7 +104,7 @@ def open_list(bare: str) -> bool:
 
 
 #: What is measured of a text that is not blank; ``plain`` is how it ends by itself: stop, open or code.
-MEASURES = "bare binary, bare_chars long, chars long, bytes long, closing long, kind string, lines boolean, marked boolean, stop boolean, broken boolean, code boolean, parsed boolean, worded boolean, form boolean"
+MEASURES = "bare binary, bare_chars long, chars long, bytes long, closing long, kind string, lines boolean, marked boolean, stop boolean, broken boolean, code boolean, parsed boolean, worded boolean, form boolean, begin string, prefixes array<bigint>"
 
 
 def measure(text: str) -> tuple | None:
@@ -125,7 +125,8 @@ def measure(text: str) -> tuple | None:
     return (
         xxhash.xxh3_128_digest(bare.encode("utf-8", "surrogatepass")), len(bare), len(text), len(text.encode("utf-8", "surrogatepass")), xxhash.xxh3_64_intdigest(closing.encode("utf-8", "surrogatepass")) - (1 << 63),
         ending_kind(end), "\n" in end, marked, stop, OPEN_NUMBER.search(end) is not None or last.count("`") % 2 == 1, code, code and parses(end), re.search(r"\w", closing) is not None,
-        form and not marked and not HEADING.match(last),
+        form and not marked and not HEADING.match(last), bare[:PREFIX],
+        [xxhash.xxh3_64_intdigest(bare[: PREFIX << i].encode("utf-8", "surrogatepass"), seed=i) - (1 << 63) for i in range((len(bare) // PREFIX).bit_length())],
     )
 
 
@@ -180,38 +181,25 @@ def strict_prefixes(texts: DataFrame) -> DataFrame:
     return inner if n == 1 else inner.unionByName(strict_prefixes(found.where("text IS NOT NULL").distinct())).distinct()
 
 
-def with_longer_copy(rows: DataFrame, facts: DataFrame) -> DataFrame:
+def with_longer_copy(rows: DataFrame, seen: DataFrame) -> DataFrame:
     """``bare`` of the texts that are, without mark and outer end, strict prefixes of others, from all (key, text) ``rows``.
 
-    ``facts``: key, bare, bare_chars of the distinct texts. A text of at least PREFIX characters is looked for among
-    those that share its longest hashed prefix; only these are sorted. The shorter ones are sorted together
-    with the distinct beginnings of all others, of PREFIX characters.
+    ``seen``: key, bare, bare_chars, begin, prefixes of all texts. A text of at least PREFIX characters is looked for
+    among those that share its longest hashed prefix; only these are read again and sorted. The shorter ones are
+    sorted together with the distinct beginnings of all others, of PREFIX characters.
     """
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
-                bare = without_mark(t)
-                size = PREFIX
-                while size <= len(bare):
-                    own = size * 2 > len(bare)
-                    out.append((k, xxhash.xxh3_128_digest(f"{size}:{bare[:size]}".encode("utf-8", "surrogatepass")), own, None, None))
-                    size *= 2
-                if bare:
-                    out.append((k, None, None, bare[:PREFIX], xxhash.xxh3_128_digest(bare.encode("utf-8", "surrogatepass")) if len(bare) < PREFIX else None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.bool_(), pa.string(), pa.binary()))], names=["key", "prefix", "own", "begin", "short"])
-
-    cut = materialize(rows.select("key", "text").dropDuplicates(["key"]).mapInArrow(prefixes, "key binary, prefix binary, own boolean, begin string, short binary"), "prefixes")
     # short texts among the beginnings of all: a beginning that is a short text keeps that text's key
-    values = cut.where("begin IS NOT NULL").groupBy(F.col("begin").alias("text")).agg(F.max("short").alias("key"))
+    values = seen.where("begin <> ''").groupBy(F.col("begin").alias("text")).agg(F.max(F.when(F.col("bare_chars") < PREFIX, F.col("bare"))).alias("key"))
     short = strict_prefixes(values).where("key IS NOT NULL").select(F.col("key").alias("bare"))
     # longer ones: groups of a prefix that is the longest hashed one of some text and belongs to several
-    groups = cut.where("prefix IS NOT NULL").groupBy("prefix").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.bool_or("own").alias("own")).where("own AND a <> b")
-    shared = cut.where("prefix IS NOT NULL").join(groups.select("prefix"), "prefix", "left_semi").select("key").distinct()
-    kept = materialize(shared, "shared")
-    if not kept.head(1):
+    cut = seen.where(F.size("prefixes") > 0).select("bare", F.size("prefixes").alias("n"), F.posexplode("prefixes").alias("pos", "prefix"))
+    groups = cut.groupBy("prefix").agg(F.min("bare").alias("a"), F.max("bare").alias("b"), F.bool_or(F.col("pos") == F.col("n") - 1).alias("own")).where("own AND a <> b").select("prefix")
+    groups = materialize(groups, "groups")
+    if not groups.head(1):
         return short
+    of = seen.select("key", F.explode("prefixes").alias("prefix"))
+    shared = of.join(F.broadcast(groups) if stored_bytes(groups) * 4 <= BROADCAST_LIMIT_BYTES else groups, "prefix", "left_semi").select("key").distinct()
+    kept = materialize(shared, "shared")
     few = stored_bytes(kept) * 4 <= BROADCAST_LIMIT_BYTES
 
     def bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +257,7 @@ def judge_texts(docs: DataFrame, keep: list[str], text: str, source: str) -> Dat
     rows = docs.select(*[F.col(c).alias(f"__keep_{c}") for c in keep], F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"), id16(F.col(text)).alias("key"))
     passed = [c for c in rows.columns if c != "text"]
     names = [m.split()[0] for m in MEASURES.split(", ")]
-    types = [{"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}[m.split()[1]] for m in MEASURES.split(", ")]
+    types = [{"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}[m.split()[1]] for m in MEASURES.split(", ")]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -278,11 +266,11 @@ def judge_texts(docs: DataFrame, keep: list[str], text: str, source: str) -> Dat
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"), MEASURES])
     seen = materialize(rows.mapInArrow(look, schema), "measures")
-    facts = materialize(seen.where("bare IS NOT NULL").drop(*[c for c in passed if c.startswith("__keep_")]).dropDuplicates(["key", "source"]), "texts")
+    facts = materialize(seen.where("bare IS NOT NULL").drop("begin", "prefixes", *[c for c in passed if c.startswith("__keep_")]).dropDuplicates(["key", "source"]), "texts")
     closings = closing_lines(facts)
     closes = F.coalesce(F.col("closing").isin(list(closings)), F.lit(False)) if closings else F.lit(False)
     limits = materialize(field_limits(facts), "limits")
-    longer = materialize(with_longer_copy(rows.where("text IS NOT NULL"), facts).withColumn("longer", F.lit(True)), "longer")
+    longer = materialize(with_longer_copy(rows.where("text IS NOT NULL"), seen).withColumn("longer", F.lit(True)), "longer")
 
     def add(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
         """A small table by broadcast; a larger one salted, as one source may hold a third of all rows."""

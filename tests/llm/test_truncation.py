@@ -76,7 +76,8 @@ def test_longer_copies_of_short_and_long_texts(spark, monkeypatch):
     texts += [t[: r.randint(1, len(t))] + r.choice(["", "…", " [truncated]"]) for t in texts * 3]
     bare = {T.without_mark(t) for t in texts}
     df = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(texts)], "key binary, text string")
-    got = {x["bare"] for x in T.with_longer_copy(df, None).collect()}
+    seen = spark.createDataFrame([(bytes([i]), *T.measure(t)) for i, t in enumerate(texts)], f"key binary, {T.MEASURES}")
+    got = {x["bare"] for x in T.with_longer_copy(df, seen).collect()}
     assert got == {xxhash.xxh3_128_digest(b.encode()) for b in bare if b and any(o != b and o.startswith(b) for o in bare)}
 
 
