@@ -153,27 +153,61 @@ WIDTHS = {"i8": 8, "i16": 16, "i32": 32, "i64": 64, "u8": 8, "u16": 16, "u32": 3
 
 def in_range(value: Column, primitive: Column) -> Column:
     """Whether a Decimal(38,0) value fits a primitive type of up to 64 bits; null for other types."""
-    out = F.lit(None).cast("boolean")
+    low = high = F.lit(None).cast("decimal(38,0)")
     for t, w in WIDTHS.items():
-        low, high = (-(1 << (w - 1)), (1 << (w - 1)) - 1) if t[0] == "i" else (0, (1 << w) - 1)
-        bound = lambda v: F.lit(str(v)).cast("decimal(38,0)")
-        out = F.when(primitive == t, value.between(bound(low), bound(high))).otherwise(out)
-    return out
+        a, b = (-(1 << (w - 1)), (1 << (w - 1)) - 1) if t[0] == "i" else (0, (1 << w) - 1)
+        low = F.when(primitive == t, F.lit(str(a)).cast("decimal(38,0)")).otherwise(low)
+        high = F.when(primitive == t, F.lit(str(b)).cast("decimal(38,0)")).otherwise(high)
+    return value.between(low, high)
+
+
+_WIDE = "decimal(38,0)"
+
+
+def _unsigned(primitive: Column) -> Column:
+    return primitive.startswith("u")
+
+
+def _as_bits(x: Column) -> Column:
+    """A value of up to 64 bits as the long with the same bits."""
+    top = F.lit(str(1 << 63)).cast(_WIDE)
+    return F.when(x >= top, x - F.lit(str(1 << 64)).cast(_WIDE)).otherwise(x).cast("long")
+
+
+def _from_bits(x: Column, primitive: Column) -> Column:
+    return F.when(_unsigned(primitive) & (x < 0), x.cast(_WIDE) + F.lit(str(1 << 64)).cast(_WIDE)).otherwise(x.cast(_WIDE)).cast(_WIDE)
 
 
 def checked(op: str, a: Column, b: Column, primitive: Column) -> Column:
     """``a op b`` as Decimal(38,0); null on overflow of the type, division by zero or an unknown operator.
 
-    Division and remainder cut toward zero. Exact for types of up to 64 bits.
+    Operators are + - * / % and the bitwise & | ^. Division and remainder cut toward zero. Exact for types of
+    up to 64 bits.
     """
-    wide = "decimal(38,0)"
-    x, y = a.cast(wide), b.cast(wide)
-    nonzero = F.nullif(y, F.lit(0).cast(wide))
+    x, y = a.cast(_WIDE), b.cast(_WIDE)
+    nonzero = F.nullif(y, F.lit(0).cast(_WIDE))
     made = {
         "+": lambda: F.try_add(x, y), "-": lambda: F.try_subtract(x, y), "*": lambda: F.try_multiply(x, y),
         "/": lambda: F.call_function("div", x, nonzero), "%": lambda: F.try_mod(x, nonzero),
-    }[op]().cast(wide)
-    return F.when(in_range(made, primitive), made)
+        "&": lambda: _from_bits(_as_bits(x).bitwiseAND(_as_bits(y)), primitive), "|": lambda: _from_bits(_as_bits(x).bitwiseOR(_as_bits(y)), primitive),
+        "^": lambda: _from_bits(_as_bits(x).bitwiseXOR(_as_bits(y)), primitive),
+    }[op]().cast(_WIDE)
+    return F.when(in_range(x, primitive) & in_range(y, primitive) & in_range(made, primitive), made)
+
+
+def negated(a: Column, primitive: Column) -> Column:
+    """``-a``; null on overflow, and for unsigned types."""
+    made = F.try_subtract(F.lit(0).cast(_WIDE), a.cast(_WIDE)).cast(_WIDE)
+    return F.when(~_unsigned(primitive) & in_range(made, primitive), made)
+
+
+def complement(a: Column, primitive: Column) -> Column:
+    """All bits of ``a`` flipped, within its type."""
+    x = a.cast(_WIDE)
+    top = F.lit(None).cast(_WIDE)
+    for t, w in WIDTHS.items():
+        top = F.when(primitive == t, F.lit(str((1 << w) - 1 if t[0] == "u" else -1)).cast(_WIDE)).otherwise(top)
+    return F.when(in_range(x, primitive), F.try_subtract(top, x).cast(_WIDE))
 
 
 def import_paths(col: Column | str) -> Column:
@@ -213,6 +247,36 @@ def visibility(col: Column | str) -> Column:
     return F.when(scope != "", F.concat(F.lit("restricted:"), squeeze(scope))).when(t.rlike(r"^pub\b"), "public").otherwise("private")
 
 
+def receiver(col: Column | str) -> Column:
+    """How a method's text takes its receiver: value, shared_reference, mutable_reference, typed, or none."""
+    first = F.btrim(F.regexp_extract(_c(col), r"\bfn\s+\w+(?:<[^(]*>)?\s*\(([^,)]*)", 1))
+    return (
+        F.when(first.rlike(r"^&\s*(?:'\w+\s+)?mut\s+self$"), "mutable_reference").when(first.rlike(r"^&\s*(?:'\w+\s+)?self$"), "shared_reference")
+        .when(first.rlike(r"^(?:mut\s+)?self$"), "value").when(first.rlike(r"^(?:mut\s+)?self\s*:"), "typed").otherwise("none")
+    )
+
+
+def abi(col: Column | str) -> Column:
+    """The binary interface that a function's text names: C where ``extern`` names none; null without ``extern``."""
+    head = F.regexp_extract(_c(col), r"^(.*?)\bfn\b", 1)
+    named = F.regexp_extract(head, r'\bextern\s*"([^"]*)"', 1)
+    return F.when(named != "", named).when(head.rlike(r"\bextern\b"), "C")
+
+
+def is_constructor(col: Column | str) -> Column:
+    """Whether a call's last path segment is spelled like a type or variant."""
+    return F.element_at(F.split(_c(col), "::"), -1).rlike("^[A-Z]")
+
+
+#: The role bits of an occurrence in a compiler index.
+ROLE_BITS = {"definition": 1, "import": 2, "write": 4, "read": 8, "generated": 16}
+
+
+def symbol_roles(col: Column) -> dict[str, Column]:
+    """Which roles the bits of an occurrence give it."""
+    return {n: col.bitwiseAND(F.lit(b)) != 0 for n, b in ROLE_BITS.items()}
+
+
 def rfc3339(seconds: Column) -> Column:
     """Epoch seconds as an RFC 3339 time in UTC."""
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -243,6 +307,15 @@ def is_path_template(col: Column | str) -> Column:
     return _c(col).rlike(r"^(/([A-Za-z0-9._~-]+|\{[A-Za-z_][A-Za-z0-9_]*\}))+$|^/$")
 
 
+def is_operation_name(col: Column | str) -> Column:
+    return _c(col).rlike(r"^[A-Za-z_][A-Za-z0-9_.-]*$")
+
+
+def is_authority(col: Column | str) -> Column:
+    """A lower-case host with an optional port."""
+    return _c(col).rlike(r"^[a-z0-9]([a-z0-9.-]*[a-z0-9])?(:[0-9]{1,5})?$")
+
+
 #: The eleven legal transitions of a claim's state.
 TRANSITIONS = [
     ("deterministic_fact", "superseded"), ("derived_fact", "superseded"), ("confirmed", "superseded"), ("rejected", "superseded"),

@@ -107,9 +107,10 @@ class Store:
         return gone
 
 
-def canonical_lines(rows: DataFrame, key: str) -> DataFrame:
-    """Rows as JSON lines with sorted member names, in key order: the form of an export."""
-    return rows.orderBy(key).select(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("value"))
+def canonical_lines(rows: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
+    """Rows as JSON lines with sorted member names, in key order: the form of an export; ``keep`` stays outside the JSON."""
+    own = sorted(c for c in rows.columns if c not in (keep or ()))
+    return rows.orderBy(key).select(*(keep or ()), F.to_json(F.struct(*own), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def export(rows: DataFrame, key: str, path: str) -> None:
