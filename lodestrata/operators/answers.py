@@ -125,3 +125,57 @@ def bind_documents(bound: DataFrame, inventory: DataFrame) -> DataFrame:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
     state = F.when(F.col("__n").isNull(), "missing").when(F.col("__n") > 1, "ambiguous").when(same, "bound").otherwise("differs")
     return bound.join(inv, "path", "left").select("path", state.alias("state"))
+
+
+def members(ids: DataFrame, families: dict[str, DataFrame], kinds: list[str] | None = None, through: str | None = None, derivations: DataFrame | None = None, siblings: DataFrame | None = None) -> DataFrame:
+    """The members of each id's answer: id, family, member_id, each once.
+
+    The record itself, in the first family that holds it; its claims, their evidence, its diagnostics and gaps; the
+    relationships of ``kinds`` that touch it and the entities at their other ends, with their claims; beyond them one
+    more step along edges of kind ``through``; derivations (relationship_id, derivation_id) of those relationships;
+    and siblings (id, sibling_id) of the same logical declaration. ``families`` has entity, relationship (source,
+    target, kind), claim (subject_id, evidence_ids), evidence, diagnostic and coverage_gap (subject_id). An id that
+    no family holds has no member; a gap or claim without evidence has its other members all the same.
+    """
+    known = lookup(ids, families).where("family IS NOT NULL")
+    own = known.select("id", "family", F.col("id").alias("member_id"))
+    seeds = known.select("id")
+    edges = families["relationship"].where(F.col("kind").isin(kinds)) if kinds is not None else families["relationship"]
+    ends = edges.select("source", "target", F.col("id").alias("rid"))
+    out = ends.join(seeds.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("source").alias("id"), "rid", F.col("target").alias("other"))
+    back = ends.join(seeds.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("target").alias("id"), "rid", F.col("source").alias("other"))
+    touch = out.unionByName(back)
+    parts = [own, touch.select("id", F.lit("relationship").alias("family"), F.col("rid").alias("member_id")), touch.select("id", F.lit("entity").alias("family"), F.col("other").alias("member_id"))]
+    if through:
+        step = families["relationship"].where(F.col("kind") == through).select(F.col("source").alias("other"), F.col("id").alias("rid2"), F.col("target").alias("far"))
+        second = touch.select("id", "other").distinct().join(step, "other")
+        parts += [second.select("id", F.lit("relationship").alias("family"), F.col("rid2").alias("member_id")), second.select("id", F.lit("entity").alias("family"), F.col("far").alias("member_id"))]
+    if siblings is not None:
+        parts.append(siblings.join(seeds, "id", "left_semi").select("id", F.lit("entity").alias("family"), F.col("sibling_id").alias("member_id")))
+    linked = parts[0]
+    for p in parts[1:]:
+        linked = linked.unionByName(p)
+    linked = linked.distinct()
+    subjects = linked.select("id", F.col("member_id").alias("subject_id"))
+    claims = subjects.join(families["claim"].select("subject_id", F.col("id").alias("member_id"), "evidence_ids"), "subject_id")
+    result = linked.unionByName(claims.select("id", F.lit("claim").alias("family"), "member_id")).unionByName(claims.select("id", F.lit("evidence").alias("family"), F.explode("evidence_ids").alias("member_id")))
+    for f in ("diagnostic", "coverage_gap"):
+        result = result.unionByName(known.select(F.col("id").alias("subject_id")).join(families[f].select("subject_id", F.col("id").alias("member_id")), "subject_id").select(F.col("subject_id").alias("id"), F.lit(f).alias("family"), "member_id"))
+    if derivations is not None:
+        result = result.unionByName(linked.where("family = 'relationship'").join(derivations.select(F.col("relationship_id").alias("member_id"), "derivation_id"), "member_id").select("id", F.lit("derivation").alias("family"), F.col("derivation_id").alias("member_id")))
+    return result.where("member_id IS NOT NULL").distinct()
+
+
+def stale_documents(documents: DataFrame, heads: DataFrame) -> DataFrame:
+    """Documents (document_id, repository, snapshot_id) against the heads (repository, snapshot_id): document_id, state (current, stale, unbound)."""
+    h = heads.select("repository", F.col("snapshot_id").alias("__head"))
+    rows = documents.join(h, "repository", "left")
+    return rows.select("document_id", F.when(F.col("__head").isNull(), "unbound").when(F.col("snapshot_id").eqNullSafe(F.col("__head")), "current").otherwise("stale").alias("state"))
+
+
+def explorer_index(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """What a viewer's index holds of each entity: id, kind, name, search (lower case), out_edges, in_edges."""
+    n = edges.select(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("target").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    n = n.groupBy("id").agg(F.sum("o").alias("out_edges"), F.sum("i").alias("in_edges"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return entities.select("id", "kind", "name").join(n, "id", "left").select("id", "kind", "name", F.lower("name").alias("search"), zero("out_edges"), zero("in_edges"))

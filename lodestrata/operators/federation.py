@@ -83,3 +83,86 @@ def refresh_rule(plans: DataFrame, changes: DataFrame, stable: DataFrame) -> Dat
     )
     number = F.when(outcome == "full_rebuild", "002").when(outcome == "full_workspace_analysis", "003").when(outcome == "partial_analysis", "004").when(outcome == "inventory_only", "005").otherwise("006")
     return rows.select("plan_id", outcome.alias("outcome"), F.concat(F.lit("INC-RULE-"), number).alias("rule_id"))
+
+
+#: The rules a client's assessment names.
+SAFE_RULE = "cmp.response.presence.safe-absence-handling/v1"
+STRICT_RULE = "cmp.response.presence.client-stricter-than-contract/v1"
+REMOVED_RULE = "cmp.response.presence.undocumented-guarantee-removed/v1"
+
+
+def provider_changes(old_contract: DataFrame, new_contract: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """Presence change of every field of an operation between two revisions: operation_id, json_pointer, baseline, target, classification, rule_id, gap.
+
+    Contracts: operation_id, json_pointer, required; implementations: operation_id, json_pointer, presence, where
+    pointer ``*`` stands for a custom mapping. A field that only one contract has, or whose requiredness moved,
+    is unsupported: the contracts' keys must be equal. A field of unknown presence on both sides is
+    unresolved, with a gap where a custom mapping explains it.
+    """
+    on = ["operation_id", "json_pointer"]
+    rows = old_contract.select(*on, F.col("required").alias("r0")).join(new_contract.select(*on, F.col("required").alias("r1")), on, "full_outer")
+    for df, name in ((old, "o"), (new, "n")):
+        rows = rows.join(df.where("json_pointer <> '*'").select(*on, F.col("presence").alias(name)), on, "left")
+    custom = old.unionByName(new).where("json_pointer = '*'").select("operation_id").distinct().withColumn("custom", F.lit(True))
+    rows = rows.join(custom, "operation_id", "left")
+    o, n = F.coalesce("o", F.lit("unknown")), F.coalesce("n", F.lit("unknown"))
+    kind = (
+        F.when(F.col("r0").isNull() | F.col("r1").isNull() | (F.col("r0") != F.col("r1")), "unsupported")
+        .when((o == "unknown") & (n == "unknown"), "unresolved").when(o == n, "none")
+        .when((o == "guaranteed_present") & (n == "may_be_absent") & ~F.col("r0"), "breaking").otherwise("unsupported")
+    )
+    return rows.select(*on, o.alias("baseline"), n.alias("target"), kind.alias("classification"), F.when(kind == "breaking", REMOVED_RULE).alias("rule_id"), F.when((kind == "unresolved") & F.col("custom"), "provider.custom_mapping").alias("gap"))
+
+
+def classify_clients(clients: DataFrame, changes: DataFrame, contracts: DataFrame) -> DataFrame:
+    """What a breaking change means for each client: client_id, call_site_id, state, baseline_risk, target_impact, affected, rule_ids.
+
+    ``clients``: client_id, call_site_id, federation (confirmed, rejected), operation_id, path_template, assumptions
+    (map of pointer to assumption); ``changes`` of :func:`provider_changes`; ``contracts``: operation_id, path_template.
+    A confirmed client of the changed operation and path is assessed, a rejected one of another path is a rejected
+    candidate, an assumption that is unknown or missing is unsupported, and all else has no authority.
+    """
+    broken = changes.where("classification = 'breaking'").join(contracts, "operation_id").select(F.col("operation_id").alias("changed"), "json_pointer", F.col("path_template").alias("path"))
+    # a rejected client names an operation that nobody exposes: it is held against every changed one, of which a report has one
+    confirmed = clients.where("federation = 'confirmed'").join(broken, F.col("operation_id") == F.col("changed"), "left")
+    how = F.try_element_at("assumptions", F.col("json_pointer"))
+    right = F.col("changed").isNotNull() & (F.col("path_template") == F.col("path"))
+    state = F.when(~right, "invalid_authority").when(how == "handles_absent", "assessed").when(how == "requires_present", "assessed").otherwise("unsupported")
+    strict = right & (how == "requires_present")
+    a = confirmed.select(
+        "client_id", "call_site_id", state.alias("state"), F.when(state == "assessed", F.when(strict, "potentially_breaking").otherwise("compatible")).alias("baseline_risk"),
+        F.when(state == "assessed", F.when(strict, "breaking").otherwise("compatible")).alias("target_impact"), F.when(state == "assessed", strict).alias("affected"),
+        F.when(state == "assessed", F.when(strict, f"{STRICT_RULE},{REMOVED_RULE}").otherwise(SAFE_RULE)).alias("rule_ids"),
+    )
+    paths = broken.select(F.col("path").alias("path_template"), F.lit(True).alias("same")).distinct()
+    none = lambda t: F.lit(None).cast(t)
+    b = clients.where("federation <> 'confirmed'").join(paths, "path_template", "left").select(
+        "client_id", "call_site_id", F.when(F.col("same").isNull() & (F.col("federation") == "rejected"), "rejected_candidate").otherwise("invalid_authority").alias("state"),
+        none("string").alias("baseline_risk"), none("string").alias("target_impact"), none("boolean").alias("affected"), none("string").alias("rule_ids"),
+    )
+    return a.unionByName(b)
+
+
+def affected_clients(changes: DataFrame, clients: DataFrame, assessments: DataFrame) -> DataFrame:
+    """Each breaking change with its affected clients, sorted: operation_id, json_pointer, affected_client_ids."""
+    hit = assessments.where("affected").select("client_id").join(clients.select("client_id", "operation_id"), "client_id")
+    ids = hit.groupBy("operation_id").agg(F.array_sort(F.collect_set("client_id")).alias("affected_client_ids"))
+    rows = changes.where("classification = 'breaking'").join(ids, "operation_id", "left")
+    return rows.select("operation_id", "json_pointer", F.coalesce("affected_client_ids", F.array().cast("array<string>")).alias("affected_client_ids"))
+
+
+def impact_guard(baseline: DataFrame, target: DataFrame, changes: DataFrame) -> DataFrame:
+    """Why an operation's comparison may not be made, or null: operation_id, problem.
+
+    Both sides: operation_id, revision, contract_sha256, service_id, path_template, method, response_status. Revisions
+    must differ, all else agree, the method be GET and the status 200, and exactly one change be breaking.
+    """
+    same = ["contract_sha256", "service_id", "path_template", "method", "response_status"]
+    rows = baseline.join(target.select("operation_id", *[F.col(c).alias(f"t_{c}") for c in ("revision", *same)]), "operation_id", "left")
+    n = changes.where("classification = 'breaking'").groupBy("operation_id").agg(F.count(F.lit(1)).alias("breaking"))
+    rows = rows.join(n, "operation_id", "left")
+    problem = F.when(F.col("t_revision").isNull(), "no_target").when(F.col("revision") == F.col("t_revision"), "same_revision")
+    for c in same:
+        problem = problem.when(~F.col(c).eqNullSafe(F.col(f"t_{c}")), f"{c}_differs")
+    problem = problem.when(F.col("method") != "GET", "method").when(F.col("response_status") != "200", "response_status").when(F.coalesce("breaking", F.lit(0)) != 1, "not_one_breaking_change")
+    return rows.select("operation_id", problem.alias("problem"))

@@ -35,3 +35,10 @@ def nearest_rank(rows: DataFrame, group: str, value: str, percents: list[int]) -
     rank = F.greatest(F.ceil(F.col("percent") * F.col("__n") / 100), F.lit(1))
     wanted = wanted.select("percent", (F.col("__first") + rank - 1).alias("__at"))
     return ranked.join(wanted, "__at").select(group, "percent", value)
+
+
+def dense_groups(rows: DataFrame, group: str, ordinal: str, start: int = 0) -> DataFrame:
+    """group, n, dense: whether a group's ordinals are start, start + 1, ... without gap or repeat; a null one never is."""
+    g = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count(ordinal).alias("__k"), F.min(ordinal).alias("__a"), F.max(ordinal).alias("__b"), F.count_distinct(ordinal).alias("__d"))
+    dense = (F.col("__k") == F.col("n")) & (F.col("__a") == start) & (F.col("__b") == F.col("n") + start - 1) & (F.col("__d") == F.col("n"))
+    return g.select(group, "n", F.coalesce(dense, F.lit(False)).alias("dense"))

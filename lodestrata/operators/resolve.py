@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Width of the cells that bring spans together; a span lies in every cell it touches.
@@ -89,3 +89,67 @@ def module_file(modules: DataFrame, files: DataFrame) -> DataFrame:
     out = modules.select("module").distinct().join(flat, "module", "left").join(nested, "module", "left")
     both = F.col("__flat").isNotNull() & F.col("__nested").isNotNull()
     return out.select("module", F.when(both, "ambiguous").when(F.coalesce("__flat", "__nested").isNull(), "missing").otherwise("resolved").alias("state"), F.when(~both, F.coalesce("__flat", "__nested")).alias("path"))
+
+
+def sole_claim(subjects: DataFrame, claims: DataFrame) -> DataFrame:
+    """``subjects`` (id) with their only claim: id, claim_id, state (claimed, missing, ambiguous)."""
+    n = claims.where("subject_id IS NOT NULL").groupBy(F.col("subject_id").alias("id")).agg(F.count_distinct("id").alias("n"), F.min("id").alias("c"))
+    out = subjects.select("id").distinct().join(n, "id", "left")
+    return out.select("id", F.when(F.col("n") == 1, F.col("c")).alias("claim_id"), F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "claimed").otherwise("ambiguous").alias("state"))
+
+
+#: More alternatives than this of one declaration are refused.
+MAX_ALTERNATIVES = 32
+
+
+def alternatives(members: DataFrame) -> DataFrame:
+    """Members (file, owner, kind, name, id, start, end) that stand two or more times: the group, alternatives, state.
+
+    State is sound, overlapping (two spans of a group meet) or too_many. Spans are compared with the furthest end
+    before them, so no pairs are made.
+    """
+    key = ["file", "owner", "kind", "name"]
+    w = Window.partitionBy(*key).orderBy("start", "end", "id")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    g = members.withColumn("__meets", F.col("start") < before).groupBy(*key).agg(F.count(F.lit(1)).alias("alternatives"), F.bool_or(F.coalesce("__meets", F.lit(False))).alias("__meet"))
+    state = F.when(F.col("alternatives") > MAX_ALTERNATIVES, "too_many").when(F.col("__meet"), "overlapping").otherwise("sound")
+    return g.where("alternatives >= 2").select(*key, "alternatives", state.alias("state"))
+
+
+def move_signatures(signatures: DataFrame, alternatives_: DataFrame) -> DataFrame:
+    """Signatures (id, subject_id) moved onto declaration alternatives (alternative_id, declaration_id): id, subject_id, state.
+
+    A signature of a declaration without alternatives stays (kept); an alternative without signature is an error
+    (missing, null id).
+    """
+    a = alternatives_.select("alternative_id", F.col("declaration_id").alias("__d"))
+    rows = signatures.select("id", "subject_id").join(a, F.col("subject_id") == F.col("__d"), "full_outer")
+    state = F.when(F.col("id").isNull(), "missing").when(F.col("alternative_id").isNull(), "kept").otherwise("moved")
+    return rows.select("id", F.coalesce("alternative_id", "subject_id").alias("subject_id"), state.alias("state"))
+
+
+def inherited_dependencies(dependencies: DataFrame, declared: DataFrame) -> DataFrame:
+    """Dependencies (workspace, package, name) that inherit, against the workspace's own (workspace, name, id): REFERENCES_DECLARATION or a gap.
+
+    Gives workspace, package, name, target, gap.
+    """
+    d = declared.groupBy("workspace", "name").agg(F.min("id").alias("target"))
+    rows = dependencies.select("workspace", "package", "name").join(d, ["workspace", "name"], "left")
+    return rows.select("workspace", "package", "name", "target", F.when(F.col("target").isNull(), "cargo.workspace_inheritance_not_materialized").alias("gap"))
+
+
+def materialised_targets(targets: DataFrame, crates: DataFrame) -> DataFrame:
+    """Cargo targets (workspace, package, kind, name, path) and the crate (workspace, root_path, id) that each builds: MATERIALIZES.
+
+    A target's crate is the one whose root source is the target's path; a target without one has a null crate.
+    """
+    c = crates.select("workspace", F.col("root_path").alias("path"), F.col("id").alias("crate_id"))
+    return targets.join(c, ["workspace", "path"], "left").select("workspace", "package", "kind", "name", "path", "crate_id")
+
+
+def overlay_union(base: DataFrame, overlay: DataFrame, key: str, arrays: list[str]) -> DataFrame:
+    """Chunks with the arrays of an overlay's chunk of the same ``key`` merged in, sorted and each once; unique keys."""
+    o = overlay.select(key, *[F.col(a).alias(f"__{a}") for a in arrays])
+    none = F.array().cast("array<string>")
+    merged = [F.array_sort(F.array_union(F.coalesce(F.col(a), none), F.coalesce(F.col(f"__{a}"), none))).alias(a) for a in arrays]
+    return base.join(o, key, "left").select(*[c for c in base.columns if c not in arrays], *merged)

@@ -107,6 +107,89 @@ class Store:
         return gone
 
 
+class Corrupt(RuntimeError):
+    """Stored bytes are not those that their digest names, or a document's folder is not ours."""
+
+
+#: The file that marks a folder of generated documents as owned.
+OWNED = "_generated"
+
+
+class Blobs:
+    """Bytes by their digest: written once, moved into place, and held against digest and length when read."""
+
+    def __init__(self, store: Store):
+        self.store = store
+
+    def put(self, rows: DataFrame, column: str) -> DataFrame:
+        """Store the distinct values (binary) of a column; their sha256 and byte_length. Values already stored are not written again."""
+        values = rows.where(F.col(column).isNotNull()).select(F.sha2(column, 256).alias("sha256"), F.octet_length(column).cast("long").alias("byte_length"), F.col(column).alias("bytes")).dropDuplicates(["sha256"])
+        new = values.join(self.all().select("sha256"), "sha256", "left_anti") if self.store.exists("blobs") else values
+        staged = f"staging/{uuid.uuid4().hex}"
+        new.write.parquet(f"{self.store.root}/{staged}")
+        target = self.store._path("blobs", uuid.uuid4().hex)
+        self.store._fs(target).mkdirs(target.getParent())
+        if not self.store._fs(target).rename(self.store._path(staged), target):
+            raise Conflict("blobs can't be put into place")
+        return values.select("sha256", "byte_length")
+
+    def all(self) -> DataFrame:
+        return self.store.spark.read.schema("sha256 string, byte_length long, bytes binary").parquet(f"{self.store.root}/blobs/*")
+
+    def get(self, wanted: DataFrame) -> DataFrame:
+        """``wanted`` (sha256) with bytes and state: sound, corrupt (bytes are not what digest and length say; no bytes then) or missing."""
+        rows = wanted.select("sha256").distinct().join(self.all(), "sha256", "left")
+        sound = (F.sha2("bytes", 256) == F.col("sha256")) & (F.octet_length("bytes") == F.col("byte_length"))
+        state = F.when(F.col("byte_length").isNull(), "missing").when(F.coalesce(sound, F.lit(False)), "sound").otherwise("corrupt")
+        return rows.select("sha256", F.when(state == "sound", F.col("bytes")).alias("bytes"), state.alias("state"))
+
+
+def publish_documents(store: Store, name: str, documents: DataFrame) -> DataFrame:
+    """Put generated documents (path, body) in place of those published before under ``name``; what is there now.
+
+    The new folder is written beside the old one, with an owner's mark, and takes its place by renaming. A folder
+    without the mark is not ours and is never replaced.
+    """
+    target = store._path("documents", name)
+    fs = store._fs(target)
+    if fs.exists(target) and not store.exists("documents", name, OWNED):
+        raise Corrupt(f"{name} is no folder of generated documents")
+    staged = f"staging/{uuid.uuid4().hex}"
+    documents.select("path", "body").write.parquet(f"{store.root}/{staged}/files")
+    fs.create(store._path(staged, OWNED), False).close()
+    fs.mkdirs(target.getParent())
+    old = store._path("staging", uuid.uuid4().hex)
+    if fs.exists(target):
+        fs.rename(target, old)
+    if not fs.rename(store._path(staged), target):
+        raise Conflict(f"{name} can't be put into place")
+    fs.delete(old, True)
+    return store.spark.read.parquet(f"{store.root}/documents/{name}/files")
+
+
+def stage_cache(store: Store, entries: DataFrame) -> DataFrame:
+    """Append analysis-cache entries (entry_id, others) that are not staged yet; all that are staged now, sound or not.
+
+    An entry whose id is not the one derived from its key is kept out of what a refresh may reuse (``sound`` false).
+    """
+    once = entries.dropDuplicates(["entry_id"])
+    path = f"{store.root}/analysis-cache"
+    if store.exists("analysis-cache"):
+        once = once.join(store.spark.read.parquet(path).select("entry_id"), "entry_id", "left_anti")
+    once.write.mode("append").parquet(path)
+    return store.spark.read.parquet(path)
+
+
+def self_consistent(entries: DataFrame, derived) -> DataFrame:
+    """``entries`` with ``sound``: whether entry_id is the id that their key derives (a column expression)."""
+    return entries.withColumn("sound", F.col("entry_id").eqNullSafe(derived))
+
+
+def read_portable(store: Store, path: str, families: dict[str, str]) -> dict[str, DataFrame]:
+    """The families of an exported graph (JSON lines per family, schema given), read strictly: a line of another shape raises."""
+    return {name: store.spark.read.schema(shape).option("mode", "FAILFAST").json(f"{store.root}/{path}/{name}") for name, shape in families.items()}
+
+
 def canonical_lines(rows: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
     """Rows as JSON lines with sorted member names, in key order: the form of an export; ``keep`` stays outside the JSON."""
     own = sorted(c for c in rows.columns if c not in (keep or ()))

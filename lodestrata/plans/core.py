@@ -417,11 +417,12 @@ def stable_sources(spark, d):
     return V.revision(spark, d, "last").join(V.revision(spark, d, "first").select(*_EIGHT), _EIGHT, "left_semi").select("repository_identity", "path")
 
 
-_RULE = f"""WITH {V.CACHE}, st AS (SELECT n.repository_identity AS r, n.path FROM new_rev n WHERE EXISTS (SELECT 1 FROM old_rev o WHERE {' AND '.join(f'o.{c} = n.{c}' for c in _EIGHT)})),
+_OUTCOME = f"""WITH {V.CACHE}, st AS (SELECT n.repository_identity AS r, n.path FROM new_rev n WHERE EXISTS (SELECT 1 FROM old_rev o WHERE {' AND '.join(f'o.{c} = n.{c}' for c in _EIGHT)})),
 ch AS (SELECT plan_id, repository_identity AS r, {_SQL_PATH.format('c.path')} AS path, c.change_kind AS kind, c.change_kind <> 'modified' OR lower(trim(c.baseline_blob_oid)) IS DISTINCT FROM lower(trim(c.target_blob_oid)) AS content FROM (SELECT plan_id, repository_identity, unnest(changed_paths) AS c FROM refresh_plans)),
 x AS (SELECT ch.*, st.path IS NOT NULL AS stable FROM ch LEFT JOIN st ON st.r = ch.r AND st.path = ch.path),
 s AS (SELECT plan_id, count(*) AS n, bool_or(content AND (path = 'Cargo.toml' OR path LIKE '%/Cargo.toml' OR path LIKE '%/src/lib.rs' OR path LIKE '%/src/main.rs' OR path LIKE '%/mod.rs' OR (path LIKE '%.rs' AND (kind <> 'modified' OR NOT stable)))) AS wide, bool_or(content AND path LIKE '%.rs') AS part FROM x GROUP BY 1),
-o AS (SELECT p.plan_id, CASE WHEN p.baseline_generation IS NULL THEN 'full_rebuild' WHEN p.baseline_generation = p.target_generation AND coalesce(n, 0) = 0 THEN 'no_change' WHEN coalesce(wide, false) THEN 'full_workspace_analysis' WHEN coalesce(part, false) THEN 'partial_analysis' ELSE 'inventory_only' END AS outcome FROM refresh_plans p LEFT JOIN s ON s.plan_id = p.plan_id)
+o AS (SELECT p.plan_id, CASE WHEN p.baseline_generation IS NULL THEN 'full_rebuild' WHEN p.baseline_generation = p.target_generation AND coalesce(n, 0) = 0 THEN 'no_change' WHEN coalesce(wide, false) THEN 'full_workspace_analysis' WHEN coalesce(part, false) THEN 'partial_analysis' ELSE 'inventory_only' END AS outcome FROM refresh_plans p LEFT JOIN s ON s.plan_id = p.plan_id)"""
+_RULE = f"""{_OUTCOME}
 SELECT plan_id, outcome, 'INC-RULE-' || CASE outcome WHEN 'full_rebuild' THEN '002' WHEN 'full_workspace_analysis' THEN '003' WHEN 'partial_analysis' THEN '004' WHEN 'inventory_only' THEN '005' ELSE '006' END AS rule_id FROM o"""
 
 
@@ -734,9 +735,3 @@ SELECT family, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(h, chr(10) ORDE
 def portable_manifest(spark, d):
     """Rows and digest of every family: what an export of the graph is checked by."""
     return store.portable_graph({"entities": V.entities(spark, d), "relationships": V.edges(spark, d), "evidence": V.evidence(spark, d)})
-
-
-@query(f"WITH {V.CODE} SELECT kind, coalesce(visibility, '') AS visibility, count(*) AS n FROM ent GROUP BY ROLLUP (kind, visibility) HAVING kind IS NOT NULL AND (visibility IS NOT NULL)")
-def kind_rollup(spark, d):
-    """An extra: rows of the roll-up of kinds and visibilities where both are given."""
-    return V.entities(spark, d).rollup("kind", "visibility").agg(F.count(F.lit(1)).alias("n")).where("kind IS NOT NULL AND visibility IS NOT NULL")

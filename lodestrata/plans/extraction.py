@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars as S
@@ -155,12 +155,30 @@ def rust_registrations(spark, d):
 
 @query
 def rust_constants(spark, d):
-    """Values of constants and of enum variants with an explicit value, evaluated in the order of their dependencies."""
+    """Values of constants and enum variants, evaluated in the order of their dependencies.
+
+    A variant without a value has the one before plus one, from 0. An enum needs a fixed representation; where
+    that is missing, or one variant fails, none of its variants has a value.
+    """
     t = _whole(spark, d)
     values = t.where("kind = 'rust.declared_value'").select(F.col("owner_id").alias("id"), F.col("detail").alias("expression"))
     consts = t.where("kind IN ('rust.constant', 'rust.static')").select("id", F.concat_ws("/", F.col("file_id").cast("string"), "owner", "module_path").alias("owner"), "name", F.col("detail").alias("primitive")).join(values, "id")
-    variants = t.where("kind = 'rust.enum_variant'").select("id", F.col("owner_id").alias("owner"), "name", F.lit("i64").alias("primitive")).join(values, "id")
-    return constants.evaluate_constants(consts.unionByName(variants).drop("id"))
+    kinds = t.where("kind = 'rust.enum_representation'").groupBy(F.col("owner_id").alias("owner")).agg(F.max("name").alias("primitive"))
+    variants = t.where("kind = 'rust.enum_variant'").select("id", F.col("owner_id").alias("owner"), "name", "ordinal").join(values, "id", "left").join(kinds, "owner", "left")
+    given = F.last(F.when(F.col("expression").isNotNull(), F.struct("expression", "ordinal")), True).over(Window.partitionBy("owner").orderBy("ordinal"))
+    variants = variants.withColumn("g", given)
+    steps = (F.col("ordinal") - F.col("g.ordinal")).cast("string")
+    spelled = F.when(F.col("g").isNull(), F.col("ordinal").cast("string")).when(F.col("expression").isNotNull(), F.col("expression")).otherwise(F.concat(F.lit("("), F.col("g.expression"), F.lit(") + "), steps))
+    variants = materialize(variants.select("id", "owner", "name", "primitive", spelled.alias("expression")), "variants")
+    fixed = variants.where("primitive IS NOT NULL")
+    found = materialize(constants.evaluate_constants(consts.unionByName(fixed, allowMissingColumns=True).drop("id")), "constants")
+    enums = variants.select("owner").distinct().withColumn("of_enum", F.lit(True))
+    failed = found.where("value IS NULL").select("owner").distinct().join(enums, "owner", "left_semi").withColumn("failed", F.lit(True))
+    out = found.join(failed, "owner", "left")
+    lost = F.coalesce("failed", F.lit(False))
+    out = out.select("owner", "name", "primitive", F.when(~lost, F.col("value")).alias("value"), F.when(lost & F.col("problem").isNull(), "another variant failed").otherwise(F.col("problem")).alias("problem"), F.when(~lost, F.col("level")).alias("level"))
+    none = variants.where("primitive IS NULL").select("owner", "name", "primitive", F.lit(None).cast("string").alias("value"), F.lit("no fixed representation").alias("problem"), F.lit(None).cast("int").alias("level"))
+    return out.unionByName(none)
 
 
 @query
@@ -171,8 +189,9 @@ def cargo_facts(spark, d):
 
 @query
 def contract_facts(spark, d):
-    """Operations, response fields and gaps of every JSON contract; what is no supported contract says why."""
-    return contracts.openapi_facts(_texts(spark, d, ".json"), ["file_id"], "source_text")
+    """Operations, response fields and gaps of every JSON or YAML contract; what is no supported contract says why."""
+    texts = _texts(spark, d, ".json").unionByName(_texts(spark, d, ".yaml")).unionByName(_texts(spark, d, ".yml"))
+    return contracts.openapi_facts(texts, ["file_id"], "source_text")
 
 
 @query

@@ -233,6 +233,8 @@ def items(f: Facts, nodes: list, module: str, owner: str, inherited: str = "") -
             if end < len(nodes) and group(nodes[end], "{"):
                 for k, p in enumerate(parts(nodes[end].nodes)):
                     member(f, p, k, own, w, module)
+            if w == "enum" and (prim := representation(nodes[start:i])):
+                f.add("rust.enum_representation", a, nodes[i].b, own, prim, module=module)
             i = end + 1
         elif w in ("trait", "impl"):
             end = _find(nodes, i + 1, lambda n: group(n, "{") or is_(n, ";"))
@@ -277,6 +279,16 @@ def items(f: Facts, nodes: list, module: str, owner: str, inherited: str = "") -
             i += 1
 
 
+def representation(nodes: list) -> str:
+    """The integer type that a repr attribute among these nodes fixes; empty without one."""
+    for n in nodes:
+        if group(n, "[") and len(n.nodes) == 2 and is_(n.nodes[0], "repr") and group(n.nodes[1], "("):
+            for x in n.nodes[1].nodes:
+                if re.fullmatch(r"[iu](?:8|16|32|64|128|size)", x.text):
+                    return x.text
+    return ""
+
+
 def use_paths(nodes: list, prefix: str = "") -> list[tuple[str, str]]:
     """(path, alias) of every name a use tree brings in."""
     path, i = prefix, 0

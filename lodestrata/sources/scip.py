@@ -167,3 +167,35 @@ def reference_owners(rows: DataFrame, syntax_kind: int | None = FUNCTION_IDENTIF
     inside = refs.join(defs, ["document", "cell"]).where("a <= x AND y <= b AND symbol <> owner").where(~package_of("symbol").eqNullSafe(package_of("owner")))
     owners = inside.groupBy("document", "symbol", "x", "y").agg(F.min("owner").alias("owner"), F.count_distinct("owner").alias("n")).where("n = 1")
     return owners.select("document", "owner", "symbol").distinct()
+
+
+def overlay_edges(rows: DataFrame) -> DataFrame:
+    """RESOLVES_TO, REFERENCES, IMPLEMENTS and TYPE_DEFINITION of an index: kind, source, target, document; each once.
+
+    An occurrence with the import role resolves its document to the symbol; references are those of
+    :func:`reference_owners`; the rest comes from the symbols' own relationships.
+    """
+    imports = rows.where("kind = 'occurrence'").where((F.col("roles").bitwiseAND(IMPORT) != 0) & ~F.col("symbol").startswith("local ")).select(F.lit("RESOLVES_TO").alias("kind"), F.col("document").alias("source"), F.col("symbol").alias("target"), "document")
+    reads = reference_owners(rows).select(F.lit("REFERENCES").alias("kind"), F.col("owner").alias("source"), F.col("symbol").alias("target"), "document")
+    kinds = F.split("relation", ",")
+    named = rows.where("kind = 'relationship'").select(F.explode(kinds).alias("r"), F.col("symbol").alias("source"), F.col("related").alias("target"), "document")
+    related = named.where("r IN ('implementation', 'type_definition')").select(F.when(F.col("r") == "implementation", "IMPLEMENTS").otherwise("TYPE_DEFINITION").alias("kind"), "source", "target", "document")
+    return imports.unionByName(reads).unionByName(related).distinct()
+
+
+def symbol_entities(symbols: DataFrame, entities: DataFrame) -> DataFrame:
+    """Symbols (symbol) and the source entity (id, module_path, owner, name) that each names: symbol, target, state.
+
+    The descriptors give the module (``a/b/``), the owner of a member (``T#``) and the name; a method's owner must
+    agree. State is bound, missing or ambiguous. Modules are joined with ``::``; a null owner or module is none.
+    """
+    d = F.regexp_extract("symbol", r"^\S+ \S+ \S+ \S+ (.*)$", 1)
+    module = F.regexp_replace(F.regexp_replace(F.regexp_extract(d, r"^((?:[^/]+/)*)", 1), "/$", ""), "/", "::")
+    rest = F.regexp_replace(d, r"^(?:[^/]+/)*", "")
+    owner = F.regexp_extract(rest, r"^(?:impl#)?\[?(\w+)\]?#(?=\w)", 1)
+    name = F.regexp_extract(rest, r"(\w+)(?:\(\)\.|#|\.|!)?$", 1)
+    s = symbols.select("symbol").distinct().select("symbol", module.alias("module_path"), owner.alias("owner"), name.alias("name"))
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    e = entities.select(blank("module_path"), blank("owner"), "name", "id").groupBy("module_path", "owner", "name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("hit"))
+    out = s.join(e, ["module_path", "owner", "name"], "left")
+    return out.select("symbol", F.when(F.col("n") == 1, F.col("hit")).alias("target"), F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "bound").otherwise("ambiguous").alias("state"))

@@ -14,7 +14,11 @@ const LOOP_B: u8 = LOOP_A;
 const BIG: u8 = 200 + 100;
 #[derive(Clone)]
 pub struct P<T> { pub x: u64, y: Vec<u8> }
+#[repr(u8)]
 pub enum M { Off, Warm = 3, Hot }
+enum Free { One, Two }
+#[repr(i8)]
+enum Far { Near, Over = 127, Past }
 trait T0 { fn go(&self); }
 impl T0 for P<u8> { fn go(&self) { helper(1); } }
 fn helper(a: u64) -> u64 {
@@ -34,7 +38,7 @@ def facts(text):
 def test_rust_declarations_and_members():
     f = facts(RUST)
     names = lambda k: [x["name"] for x in f if x["kind"] == k]
-    assert names("rust.import") == ["crate::a::B", "crate::a::c"] and names("rust.field") == ["x", "y"] and names("rust.enum_variant") == ["Off", "Warm", "Hot"]
+    assert names("rust.import") == ["crate::a::B", "crate::a::c"] and names("rust.field") == ["x", "y"] and names("rust.enum_variant") == ["Off", "Warm", "Hot", "One", "Two", "Near", "Over", "Past"]
     assert names("rust.function") == ["helper", "looping"] and names("rust.method") == ["go", "go"] and names("rust.parameter") == ["&self", "&self", "a"]
     assert [x["detail"] for x in f if x["kind"] == "rust.callable_signature"][2] == "fn helper(a: u64) -> u64"
     span = next(x for x in f if x["kind"] == "rust.expression" and x["name"] == "café")
@@ -71,7 +75,7 @@ def test_flow_queries_on_a_fixture(spark, tmp_path):
     only = next(r for k, r in why.items() if k.startswith("a > 3"))
     assert only["start_block"] == 0 and only["blocks"] == [0, 1] and len(only["definitions"]) == 1
     values = {r["name"]: r["value"] for r in E.rust_constants(spark, d).collect()}
-    assert values == {"BASE": "14", "NEXT": "9", "LOOP_A": None, "LOOP_B": None, "BIG": None, "Warm": "3"}
+    assert values == {"BASE": "14", "NEXT": "9", "LOOP_A": None, "LOOP_B": None, "BIG": None, "Off": "0", "Warm": "3", "Hot": "4", "One": None, "Two": None, "Near": None, "Over": None, "Past": None}
     calls = {(r["tier"]) for r in E.rust_calls(spark, d).collect()}
     assert calls == {"exact"}
     kinds = {r["kind"] for r in E.rust_accesses(spark, d).collect()}
