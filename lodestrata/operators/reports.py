@@ -12,6 +12,7 @@ WORKSPACE = "workspace_identity string, provider struct<repository_identity:stri
 CLIENT = "role string, repository_identity string, revision string, source_path string, symbol_identity string, binding struct<kind:string,service_authority:string,method:string,path_template:string,operation_id:string,service_hint:string,operation_hint:string>"
 NESTED = "repositories array<struct<path:string,root:string,revision:string>>"
 BINDING = "repository struct<identity:string,commit_oid:string,tree_oid:string>, artifact struct<sha256:string,byte_length:bigint>, documents struct<coverage_mode:string,indexed:array<struct<path:string,blob_oid:string,byte_length:bigint,sha256:string>>,omitted:array<string>>"
+IMPACT = "baseline struct<revision:string,source_path:string>, target struct<revision:string,source_path:string>, clients array<struct<path:string>>, federation_report string"
 
 
 def read_documents(texts: DataFrame, text: str, shape: str) -> DataFrame:
@@ -25,8 +26,8 @@ def read_documents(texts: DataFrame, text: str, shape: str) -> DataFrame:
     return rows.select(*texts.columns, F.when(~broken, F.col("__d").dropFields("_corrupt")).alias("document"), broken.alias("broken"))
 
 
-def client_bindings(clients: DataFrame) -> DataFrame:
-    """Rows of client documents (document of shape CLIENT) with the faults of their declarations: client columns, problem.
+def client_bindings(clients: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Rows of client documents (document of shape CLIENT) with the faults of their declarations: ``keep``, client columns, problem.
 
     An explicit binding needs a method and a path template, a heuristic one its two hints.
     """
@@ -40,7 +41,7 @@ def client_bindings(clients: DataFrame) -> DataFrame:
         .when(hints & (b["service_hint"].isNull() | b["operation_hint"].isNull()), "heuristic_binding")
         .when(~F.coalesce(explicit | hints, F.lit(False)), "binding_kind")
     )
-    return clients.select(d["repository_identity"].alias("client_id"), d["source_path"].alias("source_path"), d["symbol_identity"].alias("symbol"), b.alias("binding"), problem.alias("problem"))
+    return clients.select(*(keep or ()), d["repository_identity"].alias("client_id"), d["source_path"].alias("source_path"), d["symbol_identity"].alias("symbol"), b.alias("binding"), problem.alias("problem"))
 
 
 def report(families: dict[str, DataFrame], key: dict[str, str]) -> DataFrame:
