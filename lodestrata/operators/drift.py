@@ -138,6 +138,29 @@ def promote(table: DataFrame, approved: dict[str, tuple[str, list[str]]]) -> Dat
     return out
 
 
+def approved_renames(changes: DataFrame, target: dict[str, str]) -> dict[str, tuple[str, list[str]]]:
+    """What :func:`promote` may replay: the other names that a target's fields had, by the ``renamed`` rows of :func:`field_changes`.
+
+    Names are followed from rename to rename, in both directions, up to other fields of the target. What reaches
+    the driver are pairs of field names, as many as a stream's schema has renames.
+    """
+    near: dict[str, set[str]] = {}
+    for r in changes.where("change_kind = 'renamed'").select("field_path", "detail").distinct().toLocalIterator():
+        near.setdefault(r["field_path"], set()).add(r["detail"])
+        near.setdefault(r["detail"], set()).add(r["field_path"])
+    out = {}
+    for path, kind in target.items():
+        seen, todo = {path}, [path]
+        while todo:
+            for n in sorted(near.get(todo.pop(), ())):
+                if n not in seen and n not in target:
+                    seen.add(n)
+                    todo.append(n)
+        if len(seen) > 1:
+            out[path] = (kind, sorted(seen - {path}))
+    return out
+
+
 def rescued_json(col: str = "rescued") -> Column:
     """The rescued map as one JSON object; null where nothing was rescued."""
     parts = F.transform(F.array_sort(F.map_entries(col)), lambda e: F.concat(F.to_json(F.struct(e["key"].alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(e["key"].alias("k")))) - 6), F.lit(":"), e["value"]))

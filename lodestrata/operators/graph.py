@@ -53,7 +53,8 @@ def bounded_traversal(edges: DataFrame, seeds: DataFrame, depth: int = 2, subjec
     seen = seeds.select(F.col("id").alias("seed"), F.col("id").alias("id"), F.lit(0).alias("hops"))
     front, cut = seen, None
     for h in range(1, depth + 1):
-        new = front.select("seed", F.col("id").alias("a")).join(flat, "a").select("seed", F.col("b").alias("id")).distinct().join(seen.select("seed", "id"), ["seed", "id"], "left_anti")
+        step = front.select("seed", F.col("id").alias("a"))
+        new = skew_join(step, flat, "a", "inner", hot_keys(step, F.col("a")), F.col("seed")).select("seed", F.col("b").alias("id")).distinct().join(seen.select("seed", "id"), ["seed", "id"], "left_anti")
         have = seen.groupBy("seed").agg(F.count(F.lit(1)).alias("have"))
         place = F.row_number().over(Window.partitionBy("seed").orderBy("id"))
         # at most `subjects` of a seed can still fit: the rank filter lets Spark cut each task's rows first

@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 from lodestrata.functions.scalars import is_transition
 
-#: Parts into which a generation's rows are hashed before the parts' digests are.
-HASH_PARTS = 4_096
+#: Hexadecimal digits of a key's digest that name the part a row is hashed in, and those of the part's own part:
+#: 16.7 million parts in 4,096, so that 10^11 rows of one group still make lists of some 6,000.
+PART_DIGITS, UPPER_DIGITS = 6, 3
 
 
 def violations(entities: DataFrame, relationships: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -40,17 +41,19 @@ def illegal_transitions(history: DataFrame) -> DataFrame:
 
 
 def generation_hash(rows: DataFrame, group: list[str], key: str, payload: list[str]) -> DataFrame:
-    """One digest per group over its rows in key order, as a two-level hash: ``group``, digest, rows.
+    """One digest per group over its rows in key order, as a three-level hash: ``group``, digest, rows.
 
-    Rows are hashed in HASH_PARTS parts by their key's digest; a group's digest is that of its parts' digests
-    in part order. No group is gathered whole in one task, and equal contents give equal digests.
+    Rows are hashed in parts by their key's digest, parts in larger parts, and these give the group's digest,
+    always in part order. No group is gathered whole in one task, and equal contents give equal digests.
     """
-    part = F.conv(F.substring(F.sha2(F.col(key), 256), 1, 3), 16, 10).cast("int")
+    part = F.substring(F.sha2(F.col(key), 256), 1, PART_DIGITS)
     entry = F.to_json(F.array(F.col(key), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in payload]))
     parts = rows.select(*group, part.alias("__part"), entry.alias("__entry")).groupBy(*group, "__part").agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list("__entry")), "\n"), 256).alias("__h"), F.count(F.lit(1)).alias("__n")
     )
-    return parts.groupBy(*group).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__part", "__h"))), lambda x: x["__h"]), "\n"), 256).alias("digest"), F.sum("__n").alias("rows"))
+    joined = lambda p, h: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(p, h))), lambda x: x[h]), "\n"), 256)
+    upper = parts.groupBy(*group, F.substring("__part", 1, UPPER_DIGITS).alias("__up")).agg(joined("__part", "__h").alias("__uh"), F.sum("__n").alias("__un"))
+    return upper.groupBy(*group).agg(joined("__up", "__uh").alias("digest"), F.sum("__un").alias("rows"))
 
 
 def equal_tables(a: DataFrame, b: DataFrame) -> DataFrame:

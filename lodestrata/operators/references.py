@@ -52,6 +52,8 @@ def find_orphans(refs: DataFrame, targets: DataFrame, keys: list[str], ref_time:
     """
     if match not in ("simple", "partial", "full"):
         raise ValueError(f"unknown match semantics: {match}")
+    if hot and spread is None:
+        raise ValueError("hot keys need a column to spread them by")
     payload = refs.columns
     sound = targets.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
     parts = []
@@ -69,7 +71,7 @@ def find_orphans(refs: DataFrame, targets: DataFrame, keys: list[str], ref_time:
         right = sound.select(join_key.alias("__key"), F.col("first_seen").alias("__first"), F.col("target_deleted").alias("__gone"))
         if len(on) < len(keys):
             right = right.groupBy("__key").agg(F.min("__first").alias("__first"), F.min("__gone").alias("__gone"))
-        joined = skew_join(group.withColumn("__key", join_key), right, "__key", "left", hot or [], spread if spread is not None else F.lit(0))
+        joined = skew_join(group.withColumn("__key", join_key), right, "__key", "left", hot or [], spread)
         status = (
             F.when(F.col("__gone").isNull(), "missing")
             .when(F.col("__gone"), "deleted")

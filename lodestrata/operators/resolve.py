@@ -5,8 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.skew import hot_keys
+
 #: Width of the cells that bring spans together; a span lies in every cell it touches.
 CELL = 4_096
+#: Sub-keys over which a hot key is spread.
+SALTS = 16
+
+
+def probe(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """``left`` join ``right`` on ``on``, with the keys salted that a large share of ``left`` has.
+
+    ``right`` has few rows of a key. Rows of a hot key are spread by their other columns.
+    """
+    hot = hot_keys(left, F.xxhash64(*on))
+    if not hot:
+        return left.join(right, on, how)
+    rest = [c for c in left.columns if c not in on]
+    is_hot = F.xxhash64(F.xxhash64(*on)).isin(hot)
+    salted = left.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*rest), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    repeated = right.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(repeated, [*on, "__salt"], how).drop("__salt")
 
 
 def _cells(start: str, end: str) -> F.Column:
@@ -22,7 +41,7 @@ def containing(inner: DataFrame, outer: DataFrame, on: list[str]) -> DataFrame:
     """
     i = inner.where("start <= end").select(*on, F.col("id").alias("inner_id"), F.col("start").alias("a"), F.col("end").alias("b"), F.floor(F.col("start") / CELL).alias("cell"))
     o = outer.where("start <= end").select(*on, F.col("id").alias("outer_id"), F.col("start").alias("outer_start"), F.col("end").alias("outer_end"), _cells("start", "end").alias("cell"))
-    return i.join(o, [*on, "cell"]).where("outer_start <= a AND b <= outer_end").select(*on, "inner_id", "outer_id", (F.col("outer_end") - F.col("outer_start")).alias("width"), "outer_start", "outer_end")
+    return probe(i, o, [*on, "cell"], "inner").where("outer_start <= a AND b <= outer_end").select(*on, "inner_id", "outer_id", (F.col("outer_end") - F.col("outer_start")).alias("width"), "outer_start", "outer_end")
 
 
 def sole_owner(pairs: DataFrame) -> DataFrame:
@@ -49,7 +68,7 @@ def two_tier(calls: DataFrame, names: DataFrame) -> DataFrame:
     """
     exact = names.groupBy("crate", "module", "name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("t1")).where("n = 1").drop("n")
     crate = names.groupBy("crate", "name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("t2")).where("n = 1").drop("n")
-    out = calls.join(exact, ["crate", "module", "name"], "left").join(crate, ["crate", "name"], "left")
+    out = probe(probe(calls, exact, ["crate", "module", "name"]), crate, ["crate", "name"])
     second = F.when(~F.col("qualified"), F.col("t2"))
     return out.select("call_id", F.coalesce("t1", second).alias("target"), F.when(F.col("t1").isNotNull(), "exact").when(second.isNotNull(), "crate").otherwise("unresolved").alias("tier"))
 
@@ -57,7 +76,7 @@ def two_tier(calls: DataFrame, names: DataFrame) -> DataFrame:
 def sole_kind(imports: DataFrame, names: DataFrame) -> DataFrame:
     """``imports`` (import_id, path) against ``names`` (path, kind, id): a target only where exactly one kind matches."""
     hits = names.select("path", "kind", "id").distinct().groupBy("path").agg(F.count_distinct("kind").alias("kinds"), F.min("id").alias("hit"))
-    out = imports.join(hits, "path", "left")
+    out = probe(imports, hits, ["path"])
     return out.select("import_id", F.when(F.col("kinds") == 1, F.col("hit")).alias("target"), F.when(F.col("kinds") == 1, "resolved").otherwise("unresolved").alias("resolution"), F.coalesce("kinds", F.lit(0)).cast("long").alias("kinds"))
 
 
@@ -67,7 +86,7 @@ def trichotomy(refs: DataFrame, catalog: DataFrame, on: list[str], states: tuple
     The catalog is counted per key first, so a key with many partners never multiplies rows.
     """
     n = catalog.select("id", *on).distinct().groupBy(*on).agg(F.count(F.lit(1)).alias("__n"), F.min("id").alias("__id"))
-    out = refs.join(n, on, "left")
+    out = probe(refs, n, on)
     c = F.coalesce("__n", F.lit(0)).cast("long")
     return out.select("ref_id", F.when(c == 0, states[0]).when(c == 1, states[1]).otherwise(states[2]).alias("state"), F.when(c == 1, F.col("__id")).alias("target"), c.alias("candidates"))
 

@@ -46,8 +46,8 @@ def diff_arrays(k1: np.ndarray, k2: np.ndarray, rank: np.ndarray, first: np.ndar
     """Indices of differing records, the rank of the later snapshot, and the kind (index into KINDS).
 
     ``rank`` numbers the snapshots of a group without gaps, and keys differ between groups; ``first`` and ``last``
-    tell whether the group has none before or after. Of several records of one key in a snapshot the
-    greatest row hash stands.
+    tell whether the group has none before or after. Several records of one key in a snapshot are taken
+    together: the key is modified where the set of its values is another. Records are distinct.
     """
     if not len(k1):
         none = np.empty(0, dtype=np.int64)
@@ -56,12 +56,15 @@ def diff_arrays(k1: np.ndarray, k2: np.ndarray, rank: np.ndarray, first: np.ndar
     width = int(code.max()) + 1
     base = int(rank.min())
     spot = (rank - base) * width + code
-    order = np.lexsort((row, spot))
-    spot, pick = spot[order], order
-    keep = np.ones(len(spot), dtype=bool)
-    keep[:-1] = spot[1:] != spot[:-1]
-    spot, pick = spot[keep], pick[keep]
-    h = row[pick]
+    order = np.argsort(spot, kind="stable")
+    first_of = np.ones(len(spot), dtype=bool)
+    first_of[1:] = spot[order][1:] != spot[order][:-1]
+    starts = np.flatnonzero(first_of)
+    pick = order[starts]
+    spot = spot[pick]
+    # the hash of a set of values: the sum of their mixed hashes, whatever their order
+    mixed = row[order].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts)
 
     def partner(shift: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(spot, spot + shift * width), len(spot) - 1)
@@ -95,7 +98,8 @@ def snapshot_changes(rows: DataFrame, group: str, version: str, delivered: str,
 
     ``rows`` are the records of full snapshots: of several deliveries of one version the one with the
     greatest ``delivered`` counts, as a whole; consecutive means the next version number the group has. The
-    first version has no changes. ``value`` is compared null-safely. Rows without group, version, key or
+    first version has no changes. ``value`` is compared null-safely; of a key with several values in one snapshot
+    the set of them is. Rows without group, version, key or
     delivery time are ignored. Empty input gives an empty result; other columns are never read.
     """
     spark = rows.sparkSession

@@ -107,10 +107,10 @@ def claim_transition(spark, d):
     return p.groupBy("old_state", "new_state", S.is_transition(F.col("old_state"), F.col("new_state")).alias("legal")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_FILES}, t AS (SELECT file_id, source_text AS s, CAST(strlen(source_text) // 2 AS BIGINT) AS o FROM files WHERE regexp_full_match(source_text, '[\\x00-\\x7f]+'))
+@query(f"""WITH {_FILES}, t AS (SELECT file_id, source_text AS s, CAST(strlen(source_text) // 2 AS BIGINT) AS o FROM files WHERE source_text IS NOT NULL)
 SELECT file_id, o AS byte_offset, CAST(length(left(s, o)) - length(replace(left(s, o), chr(10), '')) + 1 AS BIGINT) AS line, CAST(length(list_extract(string_split(left(s, o), chr(10)), -1)) + 1 AS BIGINT) AS col FROM t""")
 def byte_to_line_col(spark, d):
-    t = _files(spark, d).where("source_text RLIKE '^[\\\\x00-\\\\x7f]+$'").withColumn("o", F.floor(F.octet_length("bytes") / 2).cast("long"))
+    t = _files(spark, d).where("source_text IS NOT NULL").withColumn("o", F.floor(F.octet_length("bytes") / 2).cast("long"))
     return t.select("file_id", F.col("o").alias("byte_offset"), S.line_column(F.col("bytes"), F.col("o")).alias("p")).select("file_id", "byte_offset", F.col("p.line").alias("line"), F.col("p.column").alias("col"))
 
 
@@ -219,8 +219,9 @@ def alternatives_having2(spark, d):
     return e.join(n, ["kind", "name"]).select("id", "kind", "name", "alternatives")
 
 
-@query(f"""WITH {V.CODE}, u AS (SELECT DISTINCT repository_identity, role, unnest(evidence_ids) AS e FROM decl), p AS (SELECT repository_identity, role, CAST('0x' || substr(sha256(e), 1, 3) AS INTEGER) AS part, sha256(string_agg('["' || e || '"]', chr(10) ORDER BY e)) AS h, count(*) AS n FROM u GROUP BY 1, 2, 3)
-SELECT repository_identity, role, sha256(string_agg(h, chr(10) ORDER BY part)) AS digest, CAST(sum(n) AS BIGINT) AS rows FROM p GROUP BY 1, 2""")
+@query(f"""WITH {V.CODE}, u AS (SELECT DISTINCT repository_identity, role, unnest(evidence_ids) AS e FROM decl), p AS (SELECT repository_identity, role, substr(sha256(e), 1, 6) AS part, sha256(string_agg('["' || e || '"]', chr(10) ORDER BY e)) AS h, count(*) AS n FROM u GROUP BY 1, 2, 3),
+q AS (SELECT repository_identity, role, substr(part, 1, 3) AS up, sha256(string_agg(h, chr(10) ORDER BY part)) AS uh, sum(n) AS n FROM p GROUP BY 1, 2, 3)
+SELECT repository_identity, role, sha256(string_agg(uh, chr(10) ORDER BY up)) AS digest, CAST(sum(n) AS BIGINT) AS rows FROM q GROUP BY 1, 2""")
 def evidence_union(spark, d):
     """The distinct evidence of a repository's roles: its size and a two-level digest of the sorted ids."""
     x = V.declarations(spark, d).select("repository_identity", "role", F.explode("evidence_ids").alias("e")).distinct()
@@ -228,9 +229,10 @@ def evidence_union(spark, d):
 
 
 @query(f"""WITH {V.CACHE}, r AS (SELECT *, 'first' AS at_rev FROM old_rev UNION ALL SELECT *, 'last' FROM new_rev),
-e AS (SELECT repository_identity, at_rev, CAST('0x' || substr(sha256(path), 1, 3) AS INTEGER) AS part, CAST(to_json([path, coalesce(blob, ''), coalesce(payload_hash, '')]) AS VARCHAR) AS entry FROM r),
-p AS (SELECT repository_identity, at_rev, part, sha256(string_agg(entry, chr(10) ORDER BY entry)) AS h, count(*) AS n FROM e GROUP BY 1, 2, 3)
-SELECT repository_identity, at_rev AS at, sha256(string_agg(h, chr(10) ORDER BY part)) AS digest, CAST(sum(n) AS BIGINT) AS rows FROM p GROUP BY 1, 2""")
+e AS (SELECT repository_identity, at_rev, substr(sha256(path), 1, 6) AS part, CAST(to_json([path, coalesce(blob, ''), coalesce(payload_hash, '')]) AS VARCHAR) AS entry FROM r),
+p AS (SELECT repository_identity, at_rev, part, sha256(string_agg(entry, chr(10) ORDER BY entry)) AS h, count(*) AS n FROM e GROUP BY 1, 2, 3),
+q AS (SELECT repository_identity, at_rev, substr(part, 1, 3) AS up, sha256(string_agg(h, chr(10) ORDER BY part)) AS uh, sum(n) AS n FROM p GROUP BY 1, 2, 3)
+SELECT repository_identity, at_rev AS at, sha256(string_agg(uh, chr(10) ORDER BY up)) AS digest, CAST(sum(n) AS BIGINT) AS rows FROM q GROUP BY 1, 2""")
 def generation_hash(spark, d):
     """Digest of every repository's first and last snapshot; equal contents give equal digests."""
     rows = V.revision(spark, d, "first").withColumn("at", F.lit("first")).unionByName(V.revision(spark, d, "last").withColumn("at", F.lit("last")))
@@ -681,12 +683,12 @@ def function_context_flat(spark, d):
     return c.select("callable", "name", "owner_id", size("body_facts").alias("body_facts"), size("outgoing").alias("outgoing"), size("coverage_gaps").alias("gap_kinds"), size("evidence").alias("evidence"))
 
 
-@query(f"""WITH {_FILES}, f AS (SELECT path, blob_oid, min(file_id) AS file_id, min(source_text) AS s FROM files WHERE source_text IS NOT NULL AND blob_oid IS NOT NULL AND regexp_full_match(source_text, '[\\x00-\\x7f]*') GROUP BY 1, 2 HAVING count(DISTINCT source_text) = 1),
+@query(f"""WITH {_FILES}, f AS (SELECT path, blob_oid, min(file_id) AS file_id, min(source_text) AS s FROM files WHERE source_text IS NOT NULL AND blob_oid IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT source_text) = 1),
 e AS (SELECT file_id, path, blob_oid, s, CAST(length(s) // 3 AS BIGINT) AS a, CAST(2 * length(s) // 3 AS BIGINT) AS b FROM f)
 SELECT CAST(file_id AS VARCHAR) AS evidence_id, substr(s, CAST(a + 1 AS INTEGER), CAST(b - a AS INTEGER)) AS excerpt, CAST(length(left(s, a)) - length(replace(left(s, a), chr(10), '')) + 1 AS BIGINT) AS start_line, CAST(length(list_extract(string_split(left(s, a), chr(10)), -1)) + 1 AS BIGINT) AS start_column,
   CAST(length(left(s, b)) - length(replace(left(s, b), chr(10), '')) + 1 AS BIGINT) AS end_line, CAST(length(list_extract(string_split(left(s, b), chr(10)), -1)) + 1 AS BIGINT) AS end_column, sha256(substr(s, CAST(a + 1 AS INTEGER), CAST(b - a AS INTEGER))) AS sha256, CAST(NULL AS VARCHAR) AS problem FROM e""")
 def source_excerpt(spark, d):
-    f = _files(spark, d).where("source_text IS NOT NULL AND blob_oid IS NOT NULL AND source_text RLIKE '^[\\\\x00-\\\\x7f]*$'").groupBy("path", "blob_oid").agg(F.min("file_id").alias("file_id"), F.min("source_text").alias("s"), F.count_distinct("source_text").alias("n")).where("n = 1").withColumn("bytes", F.encode("s", "UTF-8"))
+    f = _files(spark, d).where("source_text IS NOT NULL AND blob_oid IS NOT NULL").groupBy("path", "blob_oid").agg(F.min("file_id").alias("file_id"), F.min("source_text").alias("s"), F.count_distinct("source_text").alias("n")).where("n = 1").withColumn("bytes", F.encode("s", "UTF-8"))
     size = F.octet_length("bytes")
     ev = f.select(F.col("file_id").cast("string").alias("id"), "path", "blob_oid", F.floor(size / 3).alias("start_byte"), F.floor(2 * size / 3).alias("end_byte"))
     return answers.source_excerpts(ev, f.select("path", "blob_oid", "bytes"))
@@ -730,8 +732,9 @@ def violations(spark, d):
 @query(f"""WITH {V.CODE}, f AS (SELECT 'entities' AS family, id, CAST(to_json([id, coalesce(crate_id, ''), coalesce(kind, ''), coalesce(module_path, ''), coalesce(name, ''), coalesce(owner_id, ''), coalesce(visibility, '')]) AS VARCHAR) AS entry FROM ent
   UNION ALL SELECT 'evidence', id, CAST(to_json([id, coalesce(blob_oid, ''), coalesce(CAST(end_byte AS VARCHAR), ''), coalesce(path, ''), coalesce(CAST(start_byte AS VARCHAR), '')]) AS VARCHAR) FROM evid
   UNION ALL SELECT 'relationships', id, CAST(to_json([id, kind, source, target]) AS VARCHAR) FROM edge),
-p AS (SELECT family, CAST('0x' || substr(sha256(id), 1, 3) AS INTEGER) AS part, sha256(string_agg(entry, chr(10) ORDER BY entry)) AS h, count(*) AS n FROM f GROUP BY 1, 2)
-SELECT family, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(h, chr(10) ORDER BY part)) AS digest FROM p GROUP BY 1""")
+p AS (SELECT family, substr(sha256(id), 1, 6) AS part, sha256(string_agg(entry, chr(10) ORDER BY entry)) AS h, count(*) AS n FROM f GROUP BY 1, 2),
+q AS (SELECT family, substr(part, 1, 3) AS up, sha256(string_agg(h, chr(10) ORDER BY part)) AS uh, sum(n) AS n FROM p GROUP BY 1, 2)
+SELECT family, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(uh, chr(10) ORDER BY up)) AS digest FROM q GROUP BY 1""")
 def portable_manifest(spark, d):
     """Rows and digest of every family: what an export of the graph is checked by."""
     return store.portable_graph({"entities": V.entities(spark, d), "relationships": V.edges(spark, d), "evidence": V.evidence(spark, d)})

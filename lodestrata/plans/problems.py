@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.functions.ids import clean_id, micros
+from lodestrata.functions.ids import clean_id, id16, micros
 from lodestrata.operators import drift, hierarchy, loglines, references, snapshots
 from lodestrata.operators.skew import hot_keys
 from lodestrata.runtime import materialize
@@ -53,8 +53,6 @@ def _raw_keys(spark: SparkSession, d: str) -> DataFrame:
     out = decl.select(F.lit(EVIDENCE).alias("t"), F.explode("evidence_ids").alias("id")).unionByName(decl.select(F.lit(ENTITIES).alias("t"), F.col("local_target_id").alias("id")))
     for name in (DIAGNOSTICS, GAPS):
         out = out.unionByName(table(spark, d, name).select(F.lit(DECLARATIONS).alias("t"), F.col("declaration_id").alias("id")))
-    from lodestrata.functions.ids import id16
-
     return out.select(id16(F.concat_ws("\x1f", "t", clean_id("id"))).alias("k"))
 
 
@@ -64,6 +62,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("src_table", "record_id", "ref_field", "ref_id", "status", _month().alias("period"))
 
 
+def p1_composite(spark: SparkSession, d: str) -> DataFrame:
+    """A declaration's (crate, owner) as one reference to an entity of that crate: parts may be null, those that are there must agree with some entity."""
+    rows = references.counting_rows(table(spark, d, DECLARATIONS), ["crate_id", "lexical_owner_id", "deleted_at"]).where("deleted_at IS NULL")
+    refs = rows.select("record_id", clean_id("crate_id").alias("crate_id"), clean_id("lexical_owner_id").alias("owner"), micros("recorded_at").alias("__at"))
+    ents = table(spark, d, ENTITIES).select(clean_id("crate_id").alias("crate_id"), clean_id("id").alias("owner"), "recorded_at", "deleted_at")
+    keyed = table(spark, d, DECLARATIONS).select(id16(F.concat_ws("\x1f", clean_id("crate_id"), clean_id("lexical_owner_id"))).alias("k"))
+    found = references.find_orphans(refs, references.target_states(ents, ["crate_id", "owner"]), ["crate_id", "owner"], "__at", "partial", hot_keys(keyed, F.col("k")), F.col("record_id"))
+    return found.select("record_id", "crate_id", "owner", "status")
+
+
 def p1_by_table_and_period(spark: SparkSession, d: str) -> DataFrame:
     return p1_found(spark, d).groupBy("src_table", "ref_field", "period", "status").agg(F.count(F.lit(1)).alias("orphans"), F.countDistinct("record_id").alias("records"))
 
@@ -128,19 +136,6 @@ PORTABLE_GRAPH = {
 }
 TARGET = OBSERVATION | PORTABLE_GRAPH
 
-#: Renamed spellings whose values are approved for the typed columns.
-APPROVED = {
-    "correction_round": ("integer", ["correctionRound"]),
-    "actual_failure": ("string", ["actual_failure_ref"]),
-    "raw_log_path": ("string", ["raw_log_path_v2"]),
-    "raw_log_bytes": ("integer", ["meta.raw_log_bytes", "meta.raw_log_bytes_v2"]),
-    "source_snapshot.snapshot_id": ("string", ["source_snapshot.Snapshot_Id"]),
-    "query_contract_version": ("string", ["query_contract_version_ref"]),
-    "tests_run": ("integer", ["tests_run"]),
-    "lane": ("string", ["lane"]),
-    "accepted": ("boolean", ["accepted"]),
-}
-
 
 def _ingested(spark: SparkSession, d: str) -> DataFrame:
     return drift.ingest(table(spark, d, "raw_records"), TARGET)
@@ -158,8 +153,9 @@ def p2_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_promoted(spark: SparkSession, d: str) -> DataFrame:
-    """The table after the approved fields were replayed from the rescue column."""
-    return drift.promote(_ingested(spark, d), APPROVED).withColumn("rescued", drift.rescued_json())
+    """The table after renamed fields were replayed from the rescue column: those whose values the files themselves show to be the same."""
+    approved = drift.approved_renames(p2_found(spark, d), TARGET)
+    return drift.promote(_ingested(spark, d), approved).withColumn("rescued", drift.rescued_json())
 
 
 # ---------------------------------------------------------------- 3: hierarchies
@@ -260,7 +256,7 @@ base AS (
   SELECT key.repository_identity AS g, generation AS v, delivered_at AS ts, {_SQL_PATH.format('key.canonical_source_path')} AS k, lower(trim(key.source_blob_oid)) AS b FROM cache_entries),
 latest AS (SELECT g, v, max(ts) AS ts FROM base GROUP BY g, v),
 seq AS (SELECT g, v, ts, lag(v) OVER w AS pv, lead(v) OVER w AS nv FROM latest WINDOW w AS (PARTITION BY g ORDER BY v)),
-snap AS (SELECT DISTINCT b.g, b.v, s.pv, s.nv, b.k, b.b FROM base b JOIN seq s ON s.g = b.g AND s.v = b.v AND s.ts = b.ts),
+snap AS (SELECT b.g, b.v, s.pv, s.nv, b.k, list_sort(list(DISTINCT coalesce('blob ' || b.b, 'none'))) AS b FROM base b JOIN seq s ON s.g = b.g AND s.v = b.v AND s.ts = b.ts WHERE b.k IS NOT NULL GROUP BY ALL),
 p4 AS (
   SELECT n.g AS repository_identity, n.v AS generation, n.k AS source_path, CASE WHEN o.k IS NULL THEN 'added' ELSE 'modified' END AS change_kind
   FROM snap n LEFT JOIN snap o ON o.g = n.g AND o.v = n.pv AND o.k = n.k
@@ -293,15 +289,26 @@ def p5_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_by_table_and_period": p1_by_table_and_period,
+    "p1_found": p1_found, "p1_composite": p1_composite, "p1_by_table_and_period": p1_by_table_and_period,
     "p2_found": p2_found, "p2_table": p2_table, "p2_promoted": p2_promoted,
     "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_descendant_counts": p3_descendant_counts,
     "p4_found": p4_found, "p4_against_plans": p4_against_plans,
     "p5_found": p5_found, "p5_entries": p5_entries, "p5_levels": p5_levels,
 }
 
+_NEVER = "TIMESTAMP '0001-01-01'"
+
 SQL = {
     "p1_found": _p1_sql() + "SELECT * FROM found",
+    "p1_composite": f"""WITH decl AS (
+  SELECT {_sql_clean('id')} AS record_id, {_sql_clean('crate_id')} AS crate_id, {_sql_clean('lexical_owner_id')} AS owner, coalesce(recorded_at, {_NEVER}) AS seen_at, deleted_at FROM framework_declarations WHERE {_sql_clean('id')} IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY {_sql_clean('id')} ORDER BY recorded_at DESC NULLS LAST, ingested_at DESC NULLS LAST) = 1),
+ent AS (SELECT {_sql_clean('crate_id')} AS crate_id, {_sql_clean('id')} AS owner, coalesce(recorded_at, {_NEVER}) AS seen_at, deleted_at FROM semantic_entities),
+one AS (SELECT crate_id, owner, min(seen_at) AS first_seen, coalesce(max(CASE WHEN deleted_at IS NOT NULL THEN seen_at END) = max(seen_at), false) AS gone FROM ent WHERE crate_id IS NOT NULL AND owner IS NOT NULL GROUP BY 1, 2),
+tgt AS (SELECT * FROM one UNION ALL SELECT crate_id, NULL, min(first_seen), bool_and(gone) FROM one GROUP BY 1 UNION ALL SELECT NULL, owner, min(first_seen), bool_and(gone) FROM one GROUP BY owner),
+j AS (SELECT d.record_id, d.crate_id, d.owner, CASE WHEN t.gone IS NULL THEN 'missing' WHEN t.gone THEN 'deleted' WHEN t.first_seen > d.seen_at THEN 'late' END AS status
+  FROM decl d LEFT JOIN tgt t ON t.crate_id IS NOT DISTINCT FROM d.crate_id AND t.owner IS NOT DISTINCT FROM d.owner WHERE d.deleted_at IS NULL AND (d.crate_id IS NOT NULL OR d.owner IS NOT NULL))
+SELECT * FROM j WHERE status IS NOT NULL""",
     "p1_by_table_and_period": _p1_sql() + "SELECT src_table, ref_field, period, status, count(*) AS orphans, count(DISTINCT record_id) AS records FROM found GROUP BY ALL",
     "p3_found": _p3_sql(),
     "p3_paths": _p3_sql().replace("SELECT id AS node_id, root AS root_id, depth FROM tree", "SELECT id AS node_id, path AS full_path, depth, root AS root_id FROM tree").replace("SELECT s.id, '', CASE WHEN r.id IS NULL THEN -2 ELSE -1 END FROM stuck", "SELECT s.id, '', CASE WHEN r.id IS NULL THEN -2 ELSE -1 END, '' FROM stuck"),

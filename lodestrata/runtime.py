@@ -19,7 +19,7 @@ _written: list[str] = []
 
 @atexit.register
 def _clean() -> None:
-    """Remove what this driver wrote to a folder of files; on other file systems the folder's own rules do."""
+    """Remove what this driver wrote to a folder of files; other file systems were told to when it was written."""
     for path in _written:
         if path.startswith(("file:", "/")):
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
@@ -58,6 +58,12 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local_dirs[app]
 
 
+def _forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system, whichever it is, remove a path when the driver ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -67,6 +73,7 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/lodestrata/{label}-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
+    _forget_at_exit(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lodestrata_path = path
     return out
