@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.ids import id16
 from lodestrata.operators.skew import hot_keys, skew_join
-from lodestrata.runtime import materialize, release
+from lodestrata.runtime import BROADCAST_LIMIT_BYTES, materialize, release, stored_bytes
 
 #: Rounds after which a chain would be longer than any table: a guard, never reached.
 MAX_ROUNDS = 62
@@ -46,7 +46,6 @@ def resolve(nodes: DataFrame, with_path: bool = False, label: str | None = None)
     closed = state.where("done")
     active = state.where("NOT done")
     open_rows = active.count()
-    written = [state]
     resolved = [closed]
     every = state
     for _ in range(MAX_ROUNDS):
@@ -54,11 +53,15 @@ def resolve(nodes: DataFrame, with_path: bool = False, label: str | None = None)
             break
         hot = hot_keys(active, F.col("a"), open_rows)
         up = every.select(F.col("n").alias("a"), F.col("a").alias("a2"), F.col("d").alias("d2"), F.col("done").alias("done2"), *([F.col("segs").alias("segs2")] if with_path else []))
+        # only the nodes that some pointer names are joined: where these are few, the others are never shuffled
+        named = materialize(active.select("a").distinct(), "named")
+        if stored_bytes(named) * 2 <= BROADCAST_LIMIT_BYTES:
+            up = up.join(F.broadcast(named), "a", "left_semi")
         step = skew_join(active.drop("done"), up, "a", "inner", hot, F.col("n")).select(
             "n", F.col("a2").alias("a"), (F.col("d") + F.col("d2")).alias("d"), F.col("done2").alias("done"), *([F.concat("segs2", "segs").alias("segs")] if with_path else [])
         )
         new = materialize(step, "ptr")
-        written.append(new)
+        release(named)
         resolved.append(new.where("done"))
         active = new.where("NOT done")
         left = active.count()
@@ -79,8 +82,9 @@ def resolve(nodes: DataFrame, with_path: bool = False, label: str | None = None)
             image = now
             hot = hot_keys(ptr, F.col("a"), open_rows)
             up = ptr.select(F.col("n").alias("a"), F.col("a").alias("a2"))
+            last = ptr
             ptr = materialize(skew_join(ptr, up, "a", "inner", hot, F.col("n")).select("n", F.col("a2").alias("a")), "cyc")
-            written.append(ptr)
+            release(last)  # the first one is a view of the active pointers, which stay
         on = ptr.select(F.col("a").alias("n")).distinct().withColumn("on", F.lit(True))
         cyclic = ptr.select("n").join(on, "n", "left").select("n", F.lit(None).cast("binary").alias("a"), F.when(F.col("on"), -1).otherwise(-2).cast("int").alias("d"), *([F.lit(None).cast("array<string>").alias("segs")] if with_path else []))
     cols = ["n", "a", "d", *(["segs"] if with_path else [])]
