@@ -298,6 +298,29 @@ QUERIES = {
 
 _NEVER = "TIMESTAMP '0001-01-01'"
 
+#: The same change list from the bodies' JSON trees: no rescue column, no digests.
+_P2_SQL = r"""WITH RECURSIVE rec AS (SELECT record_id, stream, file_no, subject_key, CAST(body AS JSON) AS j FROM raw_records WHERE json_valid(body) AND json_type(body) = 'OBJECT'),
+walk AS (
+  SELECT record_id, stream, file_no, subject_key, k AS path, json_extract(j, '$."' || replace(k, '"', '\"') || '"') AS v FROM (SELECT *, unnest(json_keys(j)) AS k FROM rec)
+  UNION ALL
+  SELECT record_id, stream, file_no, subject_key, path || '.' || k, json_extract(v, '$."' || replace(k, '"', '\"') || '"') FROM (SELECT *, unnest(json_keys(v)) AS k FROM walk WHERE json_type(v) = 'OBJECT')),
+val AS (
+  SELECT DISTINCT stream, file_no, subject_key, path, CAST(v AS VARCHAR) AS value,
+    CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'DOUBLE' THEN 'number' ELSE 'integer' END AS kind
+  FROM walk WHERE json_type(v) NOT IN ('OBJECT', 'NULL')),
+files AS (SELECT DISTINCT stream, file_no FROM raw_records WHERE stream IS NOT NULL AND file_no IS NOT NULL),
+ord AS (SELECT stream, file_no, lag(file_no) OVER (PARTITION BY stream ORDER BY file_no) AS prev FROM files),
+prof AS (SELECT stream, file_no, path, string_agg(DISTINCT kind, '|' ORDER BY kind) AS kinds FROM val GROUP BY 1, 2, 3),
+now AS (SELECT o.stream, o.file_no, p.path, p.kinds FROM ord o JOIN prof p ON p.stream = o.stream AND p.file_no = o.file_no WHERE o.prev IS NOT NULL),
+old AS (SELECT o.stream, o.file_no, p.path, p.kinds FROM ord o JOIN prof p ON p.stream = o.stream AND p.file_no = o.prev),
+chg AS (SELECT coalesce(n.stream, b.stream) AS stream, coalesce(n.file_no, b.file_no) AS file_no, coalesce(n.path, b.path) AS path, b.kinds AS was, n.kinds AS is_ FROM now n FULL JOIN old b ON b.stream = n.stream AND b.file_no = n.file_no AND b.path = n.path),
+gone AS (SELECT c.stream, c.file_no, c.path, v.subject_key, min(v.kind || v.value) AS lo, max(v.kind || v.value) AS hi FROM chg c JOIN ord o ON o.stream = c.stream AND o.file_no = c.file_no JOIN val v ON v.stream = c.stream AND v.file_no = o.prev AND v.path = c.path WHERE c.is_ IS NULL AND v.subject_key IS NOT NULL GROUP BY ALL),
+come AS (SELECT c.stream, c.file_no, c.path, v.subject_key, min(v.kind || v.value) AS lo, max(v.kind || v.value) AS hi FROM chg c JOIN val v ON v.stream = c.stream AND v.file_no = c.file_no AND v.path = c.path WHERE c.was IS NULL AND v.subject_key IS NOT NULL GROUP BY ALL),
+ren AS (SELECT g.stream, g.file_no, g.path AS old_path, c.path AS new_path FROM gone g JOIN come c ON c.stream = g.stream AND c.file_no = g.file_no AND c.subject_key = g.subject_key GROUP BY ALL HAVING bool_and(g.lo = g.hi AND c.lo = c.hi AND g.lo = c.lo))
+SELECT stream, file_no, CASE WHEN was IS NULL THEN 'added' WHEN is_ IS NULL THEN 'removed' ELSE 'type_changed' END AS change_kind, path AS field_path, CASE WHEN was IS NOT NULL AND is_ IS NOT NULL THEN was || '->' || is_ ELSE '' END AS detail
+FROM chg c WHERE was IS DISTINCT FROM is_ AND NOT EXISTS (SELECT 1 FROM ren r WHERE r.stream = c.stream AND r.file_no = c.file_no AND ((c.is_ IS NULL AND r.old_path = c.path) OR (c.was IS NULL AND r.new_path = c.path)))
+UNION ALL SELECT stream, file_no, 'renamed', old_path, new_path FROM ren"""
+
 SQL = {
     "p1_found": _p1_sql() + "SELECT * FROM found",
     "p1_composite": f"""WITH decl AS (
@@ -310,6 +333,7 @@ j AS (SELECT d.record_id, d.crate_id, d.owner, CASE WHEN t.gone IS NULL THEN 'mi
   FROM decl d LEFT JOIN tgt t ON t.crate_id IS NOT DISTINCT FROM d.crate_id AND t.owner IS NOT DISTINCT FROM d.owner WHERE d.deleted_at IS NULL AND (d.crate_id IS NOT NULL OR d.owner IS NOT NULL))
 SELECT * FROM j WHERE status IS NOT NULL""",
     "p1_by_table_and_period": _p1_sql() + "SELECT src_table, ref_field, period, status, count(*) AS orphans, count(DISTINCT record_id) AS records FROM found GROUP BY ALL",
+    "p2_found": _P2_SQL,
     "p3_found": _p3_sql(),
     "p3_paths": _p3_sql().replace("SELECT id AS node_id, root AS root_id, depth FROM tree", "SELECT id AS node_id, path AS full_path, depth, root AS root_id FROM tree").replace("SELECT s.id, '', CASE WHEN r.id IS NULL THEN -2 ELSE -1 END FROM stuck", "SELECT s.id, '', CASE WHEN r.id IS NULL THEN -2 ELSE -1 END, '' FROM stuck"),
     "p3_descendants": f"WITH RECURSIVE {_P3_TREE.strip()} SELECT a AS ancestor, id AS descendant, depth - (i - 1) AS distance FROM (SELECT id, depth, unnest(ids) AS a, generate_subscripts(ids, 1) AS i FROM tree) WHERE depth - (i - 1) > 0",
