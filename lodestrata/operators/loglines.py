@@ -76,8 +76,8 @@ def stamp_time(text: str, not_after: datetime | None) -> datetime | None:
     try:
         if m := _ISO_PARTS.match(text):
             y, mo, d, h, mi, s = (int(x) for x in m.groups()[:6])
-            t = datetime(y, mo, d, h, mi, s, _fraction(m.group(7)), tzinfo=_zone(m.group(8)))
-            return t.astimezone(timezone.utc).replace(tzinfo=None)
+            t, zone = datetime(y, mo, d, h, mi, s, _fraction(m.group(7))), m.group(8)
+            return t if zone is None or zone == "Z" else t.replace(tzinfo=_zone(zone)).astimezone(timezone.utc).replace(tzinfo=None)
         if m := _YEARLESS.match(text):
             if not_after is None:
                 return None
@@ -107,6 +107,11 @@ def clean_line(text: str | None) -> str:
 BRACKETS = {"[": 1, "(": 1, "<": 1, "{": 1, "]": -1, ")": -1, ">": -1, "}": -1}
 
 
+def _level_word(text: str) -> bool:
+    """Whether a word is a level's; a single letter is one only as a capital."""
+    return text.lower() in LEVELS and (len(text) > 1 or text.isupper())
+
+
 def lex(line: str) -> list[tuple[str, str]]:
     """Typed tokens (mask, text) of a line's head; none where no stamp can begin a header.
 
@@ -118,6 +123,20 @@ def lex(line: str) -> list[tuple[str, str]]:
     depth = run = since = 0
     for m in TOKEN.finditer(line):
         kind, text = m.lastgroup, m.group()
+        # blanks, words and numbers are most tokens: they change little of the state
+        plain = " " if kind == "space" else "<N>" if kind == "num" else "<W>" if kind == "word" and not _level_word(text) else ""
+        if plain:
+            if plain != "<N>" and not stamped:
+                return []
+            if plain == "<W>":
+                if closed:
+                    break
+                words, run = True, run + (depth == 0)
+            out.append((plain, text))
+            since += 1
+            if len(out) >= HEAD_TOKENS and (run >= 3 or since >= HEAD_TOKENS):
+                break
+            continue
         if kind == "iso":
             zone = m.group("zone")
             frac = m.group("frac") or ""
@@ -136,18 +155,14 @@ def lex(line: str) -> list[tuple[str, str]]:
             mask = "<TIME epoch>" if "." in text else "<N>"
         elif kind == "key":
             mask = f"{text}="
-        elif kind == "num":
-            mask = "<N>"
         elif kind == "word":
-            low = text.lower()
-            mask = ("<LEVEL letter>" if len(text) == 1 else "<LEVEL>") if low in LEVELS and (len(text) > 1 or text.isupper()) else "<W>"
-        elif kind == "space":
-            mask = " "
+            mask = "<LEVEL letter>" if len(text) == 1 else "<LEVEL>"
         else:
             mask = text
-        if not stamped and mask in (" ", "<W>", '"'):
+        if not stamped and mask in ("<W>", '"'):
             return []
-        if (stamped and _is_time(mask)) or (closed and mask == "<W>"):
+        time = _is_time(mask)
+        if (stamped and time) or (closed and mask == "<W>"):
             break
         out.append((mask, text))
         if mask == '"':
@@ -158,9 +173,9 @@ def lex(line: str) -> list[tuple[str, str]]:
             level, run = True, 0
         elif mask not in (" ", "<N>"):
             run, keyed = 0, keyed or kind == "key"
-        if _is_time(mask):
+        if time:
             stamped = True
-        if mask not in (" ", "<W>", "<N>") and not _is_level(mask):
+        if mask not in ("<W>", "<N>") and not _is_level(mask):
             closed = stamped and words and level and not keyed
         since += 1
         if kind == "key" or mask in BRACKETS:
@@ -584,7 +599,7 @@ def find_headers(lines: DataFrame, learned: Learned) -> DataFrame:
                     pick.append(i)
                     out.append(h)
             rows = b.take(pa.array(pick, pa.int64()))
-            stamps = pa.array([f"{t:%Y-%m-%d %H:%M:%S}.{t.microsecond // 1000:03d}" for t, *_ in out], pa.string())
+            stamps = pa.array([t.isoformat(" ", "milliseconds") for t, *_ in out], pa.string())
             yield pa.RecordBatch.from_arrays(
                 [rows.column("source"), rows.column("line_no"), stamps, *(pa.array([h[i] for h in out], pa.string()) for i in (1, 2, 3))],
                 names=["source", "line_no", "entry_ts", "entry_level", "component", "message"],
