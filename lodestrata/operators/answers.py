@@ -11,6 +11,10 @@ from lodestrata.functions.scalars import is_char_boundary, line_column
 PRECEDENCE = ("entity", "relationship", "claim", "evidence", "diagnostic", "coverage_gap", "document")
 
 
+class Incomplete(ValueError):
+    """A function context that names something nothing holds."""
+
+
 class UnknownId(LookupError):
     """No family holds the id."""
 
@@ -67,6 +71,44 @@ def function_context(callables: DataFrame, parameters: DataFrame, body: DataFram
     return rows.withColumn("complete", numbered & (F.coalesce("lost", F.lit(0)) == 0)).drop("np", "pmin", "pmax", "pd", "lost")
 
 
+def context_navigation(callables: DataFrame, body: DataFrame, calls: DataFrame) -> DataFrame:
+    """What one can go to from each callable: callable, id, roles (sorted, joined by commas).
+
+    The callable itself, its owner, the evidence of its body facts, what it calls (callee) and what calls it (caller).
+    """
+    of = callables.select(F.col("id").alias("callable"))
+    role = lambda df, c, m, name: df.select(F.col(c).alias("callable"), F.col(m).alias("id"), F.lit(name).alias("role"))
+    rows = role(callables, "id", "id", "callable").unionByName(role(callables, "id", "owner_id", "owner")).unionByName(role(body, "callable", "evidence_id", "body_fact"))
+    rows = rows.unionByName(role(calls, "source", "target", "callee").join(of, "callable", "left_semi")).unionByName(role(calls, "target", "source", "caller").join(of, "callable", "left_semi"))
+    return rows.where("callable IS NOT NULL AND id IS NOT NULL").groupBy("callable", "id").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
+
+
+def context_derivations(callables: DataFrame, derivations: DataFrame) -> DataFrame:
+    """The derived relationships that end in each callable, with the claims they were derived from: callable, relationship_id, claim_id (null where none is known)."""
+    d = derivations.select(F.col("target").alias("callable"), F.col("id").alias("relationship_id"), F.explode_outer(F.filter(F.split("input_claim_ids", ","), lambda c: c != "")).alias("claim_id"))
+    return d.join(callables.select(F.col("id").alias("callable")), "callable", "left_semi")
+
+
+def nest_context(contexts: DataFrame, display: DataFrame, navigation: DataFrame, derivations: DataFrame) -> DataFrame:
+    """Contexts of :func:`function_context` with signature, navigation and derivations nested in.
+
+    ``display``: callable, signature; a callable with none, or with several, is not complete.
+    """
+    one = display.groupBy("callable").agg(F.min("signature").alias("signature"), F.count(F.lit(1)).alias("__s"))
+    nav = navigation.groupBy("callable").agg(F.array_sort(F.collect_list(F.struct("id", "roles"))).alias("navigation"))
+    der = derivations.groupBy("callable").agg(F.array_sort(F.collect_set(F.struct("relationship_id", "claim_id"))).alias("derivations"))
+    rows = contexts.join(one, "callable", "left").join(nav, "callable", "left").join(der, "callable", "left")
+    return rows.withColumn("complete", F.col("complete") & F.coalesce(F.col("__s") == 1, F.lit(False))).drop("__s")
+
+
+def require_complete(contexts: DataFrame) -> DataFrame:
+    """``contexts`` if all of them are complete; else an error that names one, never a context with holes."""
+    lost = contexts.where("NOT complete").select("callable").head(1)
+    if lost:
+        raise Incomplete(lost[0]["callable"])
+    return contexts
+
+
 def source_excerpts(evidence: DataFrame, files: DataFrame, limit: int = 1 << 20) -> DataFrame:
     """The exact text of evidence spans: evidence_id, excerpt, start_line, start_column, end_line, end_column, sha256, problem.
 

@@ -671,8 +671,44 @@ def function_context(spark, d):
     callables = f.select("id", F.col("declared_key_or_target").alias("name"), F.col("lexical_owner_id").alias("owner_id"), F.try_element_at("evidence_ids", F.lit(1)).alias("evidence_id"))
     params = f.where("path IS NOT NULL").select(F.col("id").alias("callable"), F.posexplode(F.regexp_extract_all("path", F.lit(r"\{(\w+)\}"), F.lit(1))).alias("ordinal", "name"))
     body = f.select(F.col("id").alias("callable"), F.posexplode("evidence_ids").alias("ordinal", "evidence_id")).select("callable", "ordinal", F.col("evidence_id").alias("id"), F.lit("span").alias("kind"), "evidence_id")
-    calls = V.edges(spark, d).where("kind = 'RESOLVES_TO'").select("id", "source", "target", F.lit(None).cast("string").alias("evidence_id"))
-    return answers.function_context(callables, params, body, calls, V.claims(spark, d), V.gaps(spark, d), V.evidence(spark, d))
+    calls = materialize(V.edges(spark, d).where("kind = 'RESOLVES_TO'").select("id", "source", "target", F.lit(None).cast("string").alias("evidence_id")), "calls")
+    context = answers.function_context(callables, params, body, calls, V.claims(spark, d), V.gaps(spark, d), V.evidence(spark, d))
+    return answers.nest_context(context, context_signature(spark, d), answers.context_navigation(callables, body, calls), context_derivations(spark, d))
+
+
+@query(f"""WITH {V.CODE} SELECT id AS callable, concat_ws(' ', 'fn ' || declared_key_or_target) || '(' || array_to_string(regexp_extract_all(coalesce(path, ''), '\\{{(\\w+)\\}}', 1), ', ') || ')' || coalesce(' -> ' || nullif(method, ''), '') AS signature FROM decl""")
+def context_signature(spark, d):
+    """The display text of every callable: its name, the parameters of its path, and its method as what it gives."""
+    f = V.declarations(spark, d)
+    none = F.lit(None).cast("string")
+    params = F.regexp_extract_all(F.coalesce("path", F.lit("")), F.lit(r"\{(\w+)\}"), F.lit(1))
+    return f.select(F.col("id").alias("callable"), S.display_signature(none, none, F.array().cast("array<string>"), F.col("declared_key_or_target"), params, F.col("method")).alias("signature"))
+
+
+@query(f"""WITH {V.CODE}, nav AS (SELECT id AS callable, id AS member, 'callable' AS role FROM decl UNION SELECT id, lexical_owner_id, 'owner' FROM decl WHERE lexical_owner_id IS NOT NULL UNION SELECT id, unnest(evidence_ids), 'body_fact' FROM decl
+  UNION SELECT source, target, 'callee' FROM edge WHERE kind = 'RESOLVES_TO' AND source IN (SELECT id FROM decl) UNION SELECT target, source, 'caller' FROM edge WHERE kind = 'RESOLVES_TO' AND target IN (SELECT id FROM decl))
+SELECT callable, member AS id, string_agg(role, ',' ORDER BY role) AS roles FROM nav GROUP BY 1, 2""")
+def context_navigation(spark, d):
+    """Where one can go from each callable, and in which roles."""
+    f = V.declarations(spark, d)
+    callables = f.select("id", F.col("lexical_owner_id").alias("owner_id"))
+    body = f.select(F.col("id").alias("callable"), F.explode("evidence_ids").alias("evidence_id"))
+    return answers.context_navigation(callables, body, V.edges(spark, d).where("kind = 'RESOLVES_TO'").select("source", "target"))
+
+
+@query(f"""WITH {V.CODE} SELECT e.id AS callable, {V._urn('relationship', "'CONTAINS'", 'e.owner_id', 'e.id')} AS relationship_id, unnest(CASE WHEN p.id IS NULL AND c.id IS NULL THEN [NULL] ELSE [x FOR x IN [p.id, c.id] IF x IS NOT NULL] END) AS claim_id
+FROM ent e LEFT JOIN claim p ON p.subject_id = e.owner_id LEFT JOIN claim c ON c.subject_id = e.id WHERE e.owner_id IS NOT NULL AND e.id IN (SELECT id FROM decl)""")
+def context_derivations(spark, d):
+    """The derived relationship that holds each callable, with its input claims."""
+    return answers.context_derivations(V.declarations(spark, d), containment_rule(spark, d))
+
+
+@query(f"""WITH {V.CODE}, lost AS (SELECT DISTINCT id FROM (SELECT id, unnest(evidence_ids) AS e FROM decl) WHERE e NOT IN (SELECT id FROM evid))
+SELECT d.id AS callable, d.id NOT IN (SELECT id FROM lost) AS complete, len(evidence_ids) AS body_facts FROM decl d""")
+def context_completeness(spark, d):
+    """Which contexts name nothing that is lost: parameters in order, evidence at hand, one signature."""
+    c = function_context(spark, d)
+    return c.select("callable", "complete", F.coalesce(F.size("body_facts"), F.lit(0)).cast("long").alias("body_facts"))
 
 
 @query(f"""WITH {V.CODE}, call AS (SELECT source, count(*) AS n FROM edge WHERE kind = 'RESOLVES_TO' GROUP BY 1)
