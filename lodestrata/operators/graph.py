@@ -96,16 +96,35 @@ def ancestors(closure: DataFrame) -> DataFrame:
 
 
 def path_slice(edges: DataFrame, closure: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For each pair (s, t): the edges on some path from s to t: s, t, source, target."""
-    down = closure.select(F.col("source").alias("s"), F.col("target").alias("x")).unionByName(pairs.select("s", F.col("s").alias("x"))).distinct()
-    up = closure.select(F.col("target").alias("t"), F.col("source").alias("x")).unionByName(pairs.select("t", F.col("t").alias("x"))).distinct()
-    inside = pairs.select("s", "t").distinct().join(down, "s").join(up, ["t", "x"]).select("s", "t", "x")
-    return (
-        edges.select("source", "target").distinct()
-        .join(inside.withColumnRenamed("x", "source"), "source")
-        .join(inside.withColumnRenamed("x", "target"), ["s", "t", "target"], "left_semi")
-        .select("s", "t", "source", "target")
-    )
+    """For each pair (s, t): the edges on some path from s to t: s, t, source, target. ``closure`` is that of ``edges``.
+
+    An edge is on one if s is or reaches its source and its target is or reaches t. A pair's candidates are the
+    edges below s or those above t, whichever are fewer; each is looked up once from the other end. So a pair
+    of a root and a leaf costs the leaf's ancestors, not all that the root reaches.
+    """
+    e = edges.select("source", "target").distinct()
+    ends = materialize(pairs.where("s IS NOT NULL AND t IS NOT NULL").select("s", "t").distinct(), "pairs")
+
+    def reach(end: str, near: str, far: str) -> DataFrame:
+        own = ends.select(end).distinct()
+        others = closure.select(F.col(near).alias(end), F.col(far).alias("x")).join(own, end, "left_semi")
+        return materialize(others.unionByName(own.select(end, F.col(end).alias("x"))).distinct(), "reach")
+
+    down, up = reach("s", "source", "target"), reach("t", "target", "source")
+    hot_down, hot_up = hot_keys(down, F.col("x")), hot_keys(up, F.col("x"))
+    # inner joins: a pair without an edge below s or above t has no path
+    below = skew_join(down, e.groupBy(F.col("source").alias("x")).agg(F.count(F.lit(1)).alias("n")), "x", "inner", hot_down, F.col("s")).groupBy("s").agg(F.sum("n").alias("below"))
+    above = skew_join(up, e.groupBy(F.col("target").alias("x")).agg(F.count(F.lit(1)).alias("n")), "x", "inner", hot_up, F.col("t")).groupBy("t").agg(F.sum("n").alias("above"))
+    sides = materialize(ends.join(below, "s").join(above, "t").select("s", "t", (F.col("below") < F.col("above")).alias("from_s")), "sides")
+
+    def sliced(mine: DataFrame, end: str, other: str, reached: DataFrame, hot: list[int], at: str, check: DataFrame, to: str) -> DataFrame:
+        wanted = reached.join(mine.select(end).distinct(), end, "left_semi").withColumnRenamed("x", at)
+        candidates = skew_join(wanted, e, at, "inner", hot, F.col(end))
+        per_pair = skew_join(mine.select("s", "t"), candidates, end, "inner", hot_keys(mine, F.col(end)), F.col(other))
+        return per_pair.join(check.withColumnRenamed("x", to), [other, to], "left_semi").select("s", "t", "source", "target")
+
+    from_t = sliced(sides.where("NOT from_s"), "t", "s", up, hot_up, "target", down, "source")
+    return from_t.unionByName(sliced(sides.where("from_s"), "s", "t", down, hot_down, "source", up, "target"))
 
 
 def degrees(edges: DataFrame, kinds: list[str]) -> DataFrame:

@@ -39,6 +39,58 @@ def test_path_slice(spark):
     assert rows(graph.path_slice(e, graph.transitive_closure(e), pairs), "source", "target") == [("a", "t"), ("s", "a")]
 
 
+def most_rows(spark, run):
+    """The most rows that any operator gave in the plans that ``run`` executes."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    each = lambda seq: (seq.apply(i) for i in range(seq.size()))
+    before = {x.executionId() for x in each(store.executionsList())}
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    most = 0
+    for x in each(store.executionsList()):
+        if x.executionId() not in before:
+            values = store.executionMetrics(x.executionId())
+            for node in each(store.planGraph(x.executionId()).allNodes()):
+                for m in each(node.metrics()):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+@pytest.mark.parametrize("down", [True, False])
+def test_path_slice_of_a_wide_tree_stays_in_proportion(spark, down):
+    n = 300
+    way = lambda *x: x if down else x[::-1]
+    e = edges(spark, [way("root", "mid"), *[way("mid", f"leaf{i}") for i in range(n)]])
+    closure = graph.materialize(graph.transitive_closure(e))
+    ends = spark.createDataFrame([way("root", f"leaf{i}") for i in range(n)], "s string, t string")
+    got = []
+    assert most_rows(spark, lambda: got.extend(tuple(r) for r in graph.path_slice(e, closure, ends).collect())) < 10 * n
+    assert sorted(got) == sorted((*way("root", f"leaf{i}"), *x) for i in range(n) for x in (way("root", "mid"), way("mid", f"leaf{i}")))
+
+
+@pytest.mark.parametrize("salted", [False, True])
+def test_path_slice_against_every_path_end(spark, monkeypatch, salted):
+    if salted:  # every key is hot
+        monkeypatch.setattr(graph, "hot_keys", lambda df, key, *_: [r[0] for r in df.select(F.xxhash64(key)).distinct().collect()])
+    bow = [*[(f"in{i}", "hub") for i in range(4)], *[("hub", f"out{i}") for i in range(5)]]
+    links = [*bow, ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), ("x", "in0"), ("out0", "y"), ("a", "b")]
+    e = edges(spark, [*links, ("a", None), (None, "b")])
+    nodes = sorted({x for p in links for x in p})
+    reach = {x: {x} for x in nodes}
+    for _ in nodes:
+        for a, b in links:
+            for x in nodes:
+                if a in reach[x]:
+                    reach[x].add(b)
+    wanted = sorted((s, t, a, b) for s in nodes for t in nodes for a, b in set(links) if a in reach[s] and t in reach[b])
+    ends = spark.createDataFrame([*[(s, t) for s in nodes for t in nodes], ("a", "d"), ("a", None), (None, "d"), ("none", "d")], "s string, t string")
+    assert rows(graph.path_slice(e, graph.transitive_closure(e), ends), "s", "t", "source", "target") == wanted
+    assert graph.path_slice(e, graph.transitive_closure(e), ends.limit(0)).count() == 0
+    assert graph.path_slice(e.limit(0), graph.transitive_closure(e.limit(0)), ends).count() == 0
+
+
 def test_reaching_definitions_over_branches(spark):
     op = lambda b, o, i, v, k: ("f", b, o, i, v, k)
     ops = [op(0, 0, "p", "x", "write"), op(0, 1, "r0", "x", "read"), op(1, 0, "w1", "x", "write"), op(2, 0, "wy", "y", "write"), op(3, 0, "r3", "x", "read"), op(3, 1, "ry", "y", "read"), op(3, 2, "w3", "x", "write"), op(3, 3, "r4", "x", "read"), op(3, 4, "rz", "z", "read")]
